@@ -175,3 +175,63 @@ def q_bm25_top15(spark, sf_dir):
     idx = bm25.build_index(sentence_corpus(spark, sf_dir), ["doc_id", "line_no"])
     return bm25.topk(idx, benchmark(spark, sf_dir), ["item_id"], 15).select(
         "item_id", "rank", "doc_id", "line_no", "score")
+
+
+# ---------------------------------------------------------------------------
+# Statute segmentation and article keys (driver-table statutes from lineitem)
+# ---------------------------------------------------------------------------
+from statuta.operators import articles as A  # noqa: E402
+
+
+def lineitem_statutes(spark, sf_dir) -> DataFrame:
+    return A.statute_lines_from_lineitem(table(spark, sf_dir, "lineitem"))
+
+
+@register("articles_reference")
+def q_articles_reference(spark, sf_dir):
+    return A.segment_articles(lineitem_statutes(spark, sf_dir), compat=True)
+
+
+@register("articles_all")
+def q_articles_all(spark, sf_dir):
+    return A.segment_articles(lineitem_statutes(spark, sf_dir), compat=False)
+
+
+def heading_lines(spark, sf_dir) -> DataFrame:
+    """Heading-like strings from lineitem: valid, lower-case without dot, invalid."""
+    li = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber").cast("string")
+    line = (F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Điều "), n, F.lit(". "), F.col("l_linestatus")))
+            .when(F.col("l_returnflag") == "N", F.concat(F.lit("điều "), n))
+            .otherwise(F.concat(F.lit("Điều "), n, F.lit("a. "), F.col("l_linestatus"))))
+    return li.select("l_orderkey", line.alias("line"))
+
+
+@register("article_number")
+def q_article_number(spark, sf_dir):
+    return heading_lines(spark, sf_dir).select(
+        "line", T.article_number("line").alias("art_no"), T.heading_kind("line").alias("kind"))
+
+
+@register("article_keys")
+def q_article_keys(spark, sf_dir):
+    h = heading_lines(spark, sf_dir)
+    return h.where(T.heading_kind("line") == "article").select(
+        "l_orderkey", T.law_key("l_orderkey", T.article_number("line")).alias("key"))
+
+
+@register("gold_labels")
+def q_gold_labels(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber").cast("string")
+    art = (F.when(F.col("l_returnflag") == "A", n)
+           .when(F.col("l_returnflag") == "N",
+                 F.concat(F.lit("Điều "), n, F.lit(", "), F.col("l_suppkey").cast("string")))
+           .otherwise(F.concat(n, F.lit(".0"))))
+    law = F.concat(F.col("l_orderkey").cast("string"), F.lit(". LUẬT"))
+    x = li.select(law.alias("law"), art.alias("art"))
+    return x.select(
+        "law", "art",
+        F.array_join(T.gold_keys("law", "art"), "|").alias("gold_default"),
+        F.array_join(T.gold_keys("law", "art", compat=True), "|").alias("gold_compat"),
+        F.size(T.gold_keys("law", "art")).cast("bigint").alias("n_gold"))

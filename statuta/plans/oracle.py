@@ -125,3 +125,96 @@ ranked AS (SELECT item_id, doc_id, line_no, score,
                   row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line_no) AS rank
            FROM sc WHERE score > 0)
 SELECT item_id, rank, doc_id, line_no, score FROM ranked WHERE rank <= 15"""
+
+# --- statute segmentation ---------------------------------------------------
+
+
+def art_no(x: str) -> str:
+    inner = py_strip(f"replace(split_part(lower({x}), '.', 1), 'điều', '')")
+    return f"coalesce(TRY_CAST({inner} AS BIGINT), -1)"
+
+
+def kind(x: str) -> str:
+    return (f"CASE WHEN starts_with({x}, 'Chương') THEN 'chapter' "
+            f"WHEN starts_with({x}, 'Điều') AND {art_no(x)} > 0 THEN 'article' ELSE 'body' END")
+
+
+LINEITEM_STATUTE_LINES = f"""
+r AS (SELECT l_orderkey AS law_id, l_linenumber, l_returnflag, l_linestatus, l_shipdate,
+             row_number() OVER w AS rn, lag(l_returnflag) OVER w AS prev_flag
+      FROM lineitem
+      WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+                   l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)),
+r2 AS (SELECT *, list_filter([
+          CASE WHEN (rn = 1 AND l_returnflag <> 'A') OR (rn > 1 AND l_returnflag <> prev_flag)
+               THEN 'Chương ' || l_returnflag END,
+          'Điều ' || l_linenumber || '. ' || l_linestatus,
+          '  ' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) || '   ' || l_returnflag,
+          CASE WHEN l_linestatus = 'O' THEN '' END], lambda x: x IS NOT NULL) AS l FROM r),
+r3 AS (SELECT *, coalesce(sum(len(l)) OVER (PARTITION BY law_id ORDER BY rn
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS base FROM r2),
+lines AS (SELECT DISTINCT law_id, CAST(0 AS BIGINT) AS line_no, 'LUẬT  ' || law_id AS raw FROM r
+          UNION ALL
+          SELECT law_id, CAST(base + generate_subscripts(l, 1) - 1 AS BIGINT) AS line_no, unnest(l) AS raw
+          FROM r3)
+"""
+
+
+def segment_sql(compat: bool) -> str:
+    body_filter = "chap_seen = 1" if compat else "line <> ''"
+    next_join = ("JOIN heads n ON n.law_id = h.law_id AND n.seg = h.seg + 1 AND n.kind = 'article'"
+                 if compat else "")
+    return f"""WITH {LINEITEM_STATUTE_LINES},
+cls AS (SELECT law_id, line_no, raw, trim(regexp_replace(raw, '{WS}+', ' ', 'g')) AS line FROM lines),
+cls2 AS (SELECT *, {kind('line')} AS kind FROM cls),
+st AS (SELECT *, sum(CASE WHEN kind <> 'body' THEN 1 ELSE 0 END) OVER wl AS seg,
+                 max(CASE WHEN kind = 'chapter' THEN 1 ELSE 0 END) OVER wl AS chap_seen
+       FROM cls2 WINDOW wl AS (PARTITION BY law_id ORDER BY line_no
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+titles AS (SELECT law_id, raw AS title FROM lines WHERE line_no = 0),
+heads AS (SELECT law_id, seg, kind, line, {art_no('line')} AS art_no FROM st WHERE kind <> 'body'),
+body AS (SELECT law_id, seg, string_agg(line, chr(10) ORDER BY line_no) AS body, count(*) AS n_body
+         FROM st WHERE kind = 'body' AND {body_filter} GROUP BY law_id, seg),
+arts AS (SELECT h.law_id, h.seg, h.art_no,
+                CASE WHEN coalesce(b.n_body, 0) > 0 THEN t.title || chr(10) || h.line || chr(10) || b.body
+                     ELSE t.title || chr(10) || h.line END AS content
+         FROM heads h {next_join} JOIN titles t ON t.law_id = h.law_id
+         LEFT JOIN body b ON b.law_id = h.law_id AND b.seg = h.seg
+         WHERE h.kind = 'article')
+SELECT law_id, art_no, law_id || '-' || art_no AS key, CAST(min(seg) AS BIGINT) AS pos,
+       arg_max(content, seg) AS content
+FROM arts GROUP BY law_id, art_no"""
+
+
+SQL["articles_reference"] = segment_sql(True)
+SQL["articles_all"] = segment_sql(False)
+
+HEADING_LINES = """(SELECT l_orderkey, CASE WHEN l_returnflag = 'A' THEN 'Điều ' || l_linenumber || '. ' || l_linestatus
+     WHEN l_returnflag = 'N' THEN 'điều ' || l_linenumber
+     ELSE 'Điều ' || l_linenumber || 'a. ' || l_linestatus END AS line FROM lineitem)"""
+SQL["article_number"] = f"SELECT line, {art_no('line')} AS art_no, {kind('line')} AS kind FROM {HEADING_LINES}"
+SQL["article_keys"] = (f"SELECT l_orderkey, l_orderkey || '-' || {art_no('line')} AS key FROM {HEADING_LINES} "
+                       f"WHERE {kind('line')} = 'article'")
+
+
+def gold_keys_sql(law: str, art: str, compat: bool) -> str:
+    law_id = f"split_part({law}, '.', 1)"
+    a = f"regexp_replace({art}, '^(\\d+)\\.0+$', '\\1')"
+    if compat:
+        a = f"CASE WHEN contains({a}, 'Điều') THEN string_split({a}, ' ')[2] ELSE {a} END"
+        parts = f"list_transform(string_split({a}, ','), lambda p: {py_strip('p')})"
+    else:
+        a = f"replace({a}, 'Điều', '')"
+        parts = (f"list_filter(list_transform(string_split({a}, ','), lambda p: {py_strip('p')}), "
+                 f"lambda p: p <> '')")
+    return f"list_transform({parts}, lambda p: {law_id} || '-' || p)"
+
+
+SQL["gold_labels"] = f"""WITH x AS (
+  SELECT l_orderkey || '. LUẬT' AS law,
+         CASE WHEN l_returnflag = 'A' THEN CAST(l_linenumber AS VARCHAR)
+              WHEN l_returnflag = 'N' THEN 'Điều ' || l_linenumber || ', ' || l_suppkey
+              ELSE l_linenumber || '.0' END AS art FROM lineitem)
+SELECT law, art, array_to_string({gold_keys_sql('law', 'art', False)}, '|') AS gold_default,
+       array_to_string({gold_keys_sql('law', 'art', True)}, '|') AS gold_compat,
+       CAST(len({gold_keys_sql('law', 'art', False)}) AS BIGINT) AS n_gold FROM x"""
