@@ -235,3 +235,136 @@ def q_gold_labels(spark, sf_dir):
         F.array_join(T.gold_keys("law", "art"), "|").alias("gold_default"),
         F.array_join(T.gold_keys("law", "art", compat=True), "|").alias("gold_compat"),
         F.size(T.gold_keys("law", "art")).cast("bigint").alias("n_gold"))
+
+
+# ---------------------------------------------------------------------------
+# Questions from benchmark passages, containment, votes, accuracy, dataset
+# ---------------------------------------------------------------------------
+from statuta.operators import contain as C  # noqa: E402
+from statuta.operators import qa as QA  # noqa: E402
+
+
+def benchmark_questions(spark, sf_dir) -> DataFrame:
+    """Each passage becomes a question (first half of its words) with four choices
+    cut from the second half; empty cuts are missing choices."""
+    b = benchmark(spark, sf_dir)
+    w = T.tokens("text")
+    n = F.size(w)
+    h = F.ceil(n / 2).cast("int")
+    rest = F.slice(w, h + 1, n - h)
+    c = F.ceil((n - h) / 4).cast("int")
+
+    def cut(i):
+        part = F.slice(rest, c * i + 1, c)
+        return F.when(F.size(part) > 0, F.array_join(part, " "))
+
+    return b.select("item_id", "text",
+                    F.array_join(F.slice(w, 1, h), " ").alias("quest"),
+                    *[cut(i).alias(letter) for i, letter in enumerate(QA.CHOICE_LETTERS)])
+
+
+@register("choices_expanded")
+def q_choices_expanded(spark, sf_dir):
+    return QA.expand_choices(benchmark_questions(spark, sf_dir), ["item_id"])
+
+
+def all_forms(spark, sf_dir) -> DataFrame:
+    """True/false form (choice_no 0, the whole passage) and the four choice forms."""
+    bq = benchmark_questions(spark, sf_dir)
+    tf = bq.select("item_id", F.lit(0).cast("bigint").alias("choice_no"), "text")
+    mc = QA.expand_choices(bq, ["item_id"]).select("item_id", "choice_no", "text")
+    return tf.unionByName(mc)
+
+
+def form_predictions(spark, sf_dir, idx) -> DataFrame:
+    return bm25.top1(idx, all_forms(spark, sf_dir), ["item_id", "choice_no"])
+
+
+def choice_vote(preds: DataFrame, items: DataFrame) -> DataFrame:
+    v = QA.vote(preds.where(F.col("choice_no") > 0), ["item_id"], ["doc_id"])
+    return items.join(v, "item_id", "left").select(
+        "item_id", "doc_id", F.coalesce(F.col("votes"), F.lit(0)).cast("bigint").alias("votes"))
+
+
+@register("bm25_choice_vote")
+def q_bm25_choice_vote(spark, sf_dir):
+    idx = doc_index(spark, sf_dir)
+    preds = form_predictions(spark, sf_dir, idx)
+    return choice_vote(preds, benchmark(spark, sf_dir).select("item_id"))
+
+
+def passage_pairs(spark, sf_dir, dtokens=None) -> DataFrame:
+    return C.containment_pairs(benchmark(spark, sf_dir), ["item_id"],
+                               documents(spark, sf_dir), "doc_id", dtokens=dtokens)
+
+
+@register("passage_containment")
+def q_passage_containment(spark, sf_dir):
+    return passage_pairs(spark, sf_dir)
+
+
+@register("sentence_hits")
+def q_sentence_hits(spark, sf_dir):
+    """AGG7: top-15 sentences per passage, articles containing them, most hits wins
+    (ties: first hit in rank order, then corpus order)."""
+    sents = sentence_corpus(spark, sf_dir)
+    idx = bm25.build_index(sents, ["doc_id", "line_no"])
+    top = bm25.topk(idx, benchmark(spark, sf_dir), ["item_id"], 15).select(
+        "item_id", "rank", "doc_id", "line_no")
+    top_text = sents.join(F.broadcast(top), ["doc_id", "line_no"]).select(
+        "item_id", "rank", "text")
+    hits = C.containment_pairs(top_text, ["item_id", "rank"], documents(spark, sf_dir), "doc_id")
+    tally = hits.groupBy("item_id", "doc_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first_rank"))
+    win = tally.groupBy("item_id").agg(F.min_by(
+        F.struct("doc_id", "hits"),
+        F.struct(-F.col("hits"), F.col("first_rank"), F.col("doc_id"))).alias("w"))
+    return benchmark(spark, sf_dir).select("item_id").join(
+        win.select("item_id", "w.doc_id", "w.hits"), "item_id", "left").select(
+        "item_id", "doc_id", F.coalesce(F.col("hits"), F.lit(0)).cast("bigint").alias("hits"))
+
+
+def judged_predictions(spark, sf_dir) -> DataFrame:
+    """SET4 + JN6: true/false predictions followed by multiple-choice ones, judged
+    against the documents that contain the passage."""
+    idx = doc_index(spark, sf_dir)
+    preds = form_predictions(spark, sf_dir, idx)
+    items = benchmark(spark, sf_dir).select("item_id")
+    tf = preds.where(F.col("choice_no") == 0).select(
+        F.lit("tf").alias("kind"), "item_id", F.col("doc_id").alias("pred"))
+    mc = choice_vote(preds, items).select(
+        F.lit("mc").alias("kind"), "item_id", F.col("doc_id").alias("pred"))
+    gold = passage_pairs(spark, sf_dir, dtokens=idx.tf)
+    return QA.judge(tf.unionByName(mc), gold, ["item_id"], "pred", "doc_id"), gold
+
+
+@register("retrieval_accuracy")
+def q_retrieval_accuracy(spark, sf_dir):
+    judged, _ = judged_predictions(spark, sf_dir)
+    by_kind = QA.accuracy(judged, ["kind"])
+    overall = QA.accuracy(judged.withColumn("kind", F.lit("all")), ["kind"])
+    return by_kind.unionByName(overall)
+
+
+@register("retrieval_accuracy_by_source")
+def q_retrieval_accuracy_by_source(spark, sf_dir):
+    judged, gold = judged_predictions(spark, sf_dir)
+    first_gold = gold.groupBy("item_id").agg(F.min("doc_id").alias("gold_doc"))
+    src = first_gold.join(documents(spark, sf_dir).select(
+        F.col("doc_id").alias("gold_doc"), "source"), "gold_doc").select("item_id", "source")
+    return QA.accuracy(judged.join(src, "item_id", "left"), ["source"])
+
+
+@register("training_set")
+def q_training_set(spark, sf_dir):
+    """DS1 + JN2: one row per (question, gold article) with the article text size
+    and its labels; questions without a gold article keep one row with NULLs."""
+    gold = passage_pairs(spark, sf_dir)
+    docs = documents(spark, sf_dir).select("doc_id", "n_chars")
+    labels = table(spark, sf_dir, "labels")
+    arts = gold.join(docs, "doc_id").join(labels, "doc_id", "left")
+    return benchmark(spark, sf_dir).select("item_id", F.col("text").alias("quest")).join(
+        arts, "item_id", "left").select(
+        "item_id", "quest", "doc_id", "n_chars",
+        F.col("quality").cast("bigint").alias("quality"),
+        F.col("toxic").cast("bigint").alias("toxic"))

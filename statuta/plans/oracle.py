@@ -218,3 +218,80 @@ SQL["gold_labels"] = f"""WITH x AS (
 SELECT law, art, array_to_string({gold_keys_sql('law', 'art', False)}, '|') AS gold_default,
        array_to_string({gold_keys_sql('law', 'art', True)}, '|') AS gold_compat,
        CAST(len({gold_keys_sql('law', 'art', False)}) AS BIGINT) AS n_gold FROM x"""
+
+# --- questions, containment, votes, accuracy ---------------------------------
+
+BQ = """bq0 AS (SELECT item_id, text, string_split(text, ' ') AS w, len(string_split(text, ' ')) AS n FROM benchmark),
+bq1 AS (SELECT *, CAST(ceil(n / 2) AS BIGINT) AS h FROM bq0),
+bq2 AS (SELECT *, list_slice(w, h + 1, n) AS rest, CAST(ceil((n - h) / 4) AS BIGINT) AS c FROM bq1),
+bq AS (SELECT item_id, text, array_to_string(list_slice(w, 1, h), ' ') AS quest,
+   CASE WHEN len(list_slice(rest, 1, c)) > 0 THEN array_to_string(list_slice(rest, 1, c), ' ') END AS A,
+   CASE WHEN len(list_slice(rest, c + 1, 2 * c)) > 0 THEN array_to_string(list_slice(rest, c + 1, 2 * c), ' ') END AS B,
+   CASE WHEN len(list_slice(rest, 2 * c + 1, 3 * c)) > 0 THEN array_to_string(list_slice(rest, 2 * c + 1, 3 * c), ' ') END AS C,
+   CASE WHEN len(list_slice(rest, 3 * c + 1, 4 * c)) > 0 THEN array_to_string(list_slice(rest, 3 * c + 1, 4 * c), ' ') END AS D
+   FROM bq2),
+choices AS (SELECT item_id, CAST(choice_no AS BIGINT) AS choice_no, choice, quest || chr(10) || ctext AS text FROM (
+   SELECT item_id, quest, 1 AS choice_no, 'A' AS choice, A AS ctext FROM bq UNION ALL
+   SELECT item_id, quest, 2, 'B', B FROM bq UNION ALL
+   SELECT item_id, quest, 3, 'C', C FROM bq UNION ALL
+   SELECT item_id, quest, 4, 'D', D FROM bq) WHERE ctext IS NOT NULL),
+forms AS (SELECT item_id, CAST(0 AS BIGINT) AS choice_no, text FROM benchmark
+          UNION ALL SELECT item_id, choice_no, text FROM choices)"""
+
+SQL["choices_expanded"] = f"WITH {BQ} SELECT item_id, choice_no, choice, text FROM choices"
+
+_BM25_FORMS = bm25_ctes(BM25_CORPUS_DOCS, ["doc_id"], "SELECT item_id, choice_no, text FROM forms",
+                        ["item_id", "choice_no"])
+VOTE = """best AS (SELECT item_id, choice_no, doc_id FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id, choice_no ORDER BY score DESC, doc_id) AS rn
+            FROM sc WHERE score > 0) WHERE rn = 1),
+tally AS (SELECT item_id, doc_id, count(*) AS votes, min(choice_no) AS first FROM best
+          WHERE choice_no > 0 GROUP BY ALL),
+win AS (SELECT item_id, doc_id, votes FROM (
+          SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY votes DESC, first) AS rn FROM tally)
+        WHERE rn = 1),
+vote AS (SELECT b.item_id, w.doc_id, coalesce(w.votes, 0) AS votes FROM benchmark b LEFT JOIN win w USING (item_id))"""
+SQL["bm25_choice_vote"] = f"WITH {BQ}, {_BM25_FORMS}, {VOTE} SELECT item_id, doc_id, votes FROM vote"
+
+PAIRS = f"""pairs AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)
+          WHERE {py_strip('b.text')} <> '')"""
+SQL["passage_containment"] = f"WITH {PAIRS} SELECT item_id, doc_id FROM pairs"
+
+SQL["sentence_hits"] = f"""WITH {_BM25_SENT},
+ranked AS (SELECT item_id, doc_id, line_no, score,
+                  row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line_no) AS rank
+           FROM sc WHERE score > 0),
+sl AS ({SENTENCES_SQL}),
+top AS (SELECT r.item_id, r.rank, s.text AS stext FROM ranked r JOIN sl s USING (doc_id, line_no) WHERE r.rank <= 15),
+hits AS (SELECT t.item_id, d.doc_id, count(*) AS hits, min(t.rank) AS first_rank
+         FROM top t JOIN documents d ON contains(d.text, t.stext) WHERE {py_strip('t.stext')} <> '' GROUP BY ALL),
+win AS (SELECT item_id, doc_id, hits FROM (
+          SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, first_rank, doc_id) AS rn
+          FROM hits) WHERE rn = 1)
+SELECT b.item_id, w.doc_id, coalesce(w.hits, 0) AS hits FROM benchmark b LEFT JOIN win w USING (item_id)"""
+
+JUDGED = f"""top1 AS (SELECT item_id, choice_no, doc_id FROM best),
+preds AS (SELECT 'tf' AS kind, b.item_id, t.doc_id AS pred FROM benchmark b
+            LEFT JOIN (SELECT * FROM top1 WHERE choice_no = 0) t USING (item_id)
+          UNION ALL SELECT 'mc', item_id, doc_id FROM vote),
+{PAIRS},
+ng AS (SELECT item_id, count(*) AS n_gold FROM pairs GROUP BY item_id),
+judged AS (SELECT p.kind, p.item_id, p.pred, coalesce(ng.n_gold, 0) AS n_gold,
+             CASE WHEN coalesce(ng.n_gold, 0) = 1 AND h.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END AS correct,
+             CASE WHEN h.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END AS any_match
+           FROM preds p LEFT JOIN ng USING (item_id)
+           LEFT JOIN pairs h ON h.item_id = p.item_id AND h.doc_id = p.pred)"""
+ACC = "count(*) AS n, round(avg(correct), 6) AS accuracy, round(avg(any_match), 6) AS any_match"
+SQL["retrieval_accuracy"] = f"""WITH {BQ}, {_BM25_FORMS}, {VOTE}, {JUDGED}
+SELECT kind, {ACC} FROM judged GROUP BY kind
+UNION ALL SELECT 'all' AS kind, {ACC} FROM judged"""
+SQL["retrieval_accuracy_by_source"] = f"""WITH {BQ}, {_BM25_FORMS}, {VOTE}, {JUDGED},
+src AS (SELECT g.item_id, d.source FROM (SELECT item_id, min(doc_id) AS gold_doc FROM pairs GROUP BY item_id) g
+        JOIN documents d ON d.doc_id = g.gold_doc)
+SELECT s.source, {ACC} FROM judged j LEFT JOIN src s USING (item_id) GROUP BY s.source"""
+SQL["training_set"] = f"""WITH {PAIRS}
+SELECT b.item_id, b.text AS quest, a.doc_id, a.n_chars, CAST(a.quality AS BIGINT) AS quality,
+       CAST(a.toxic AS BIGINT) AS toxic
+FROM benchmark b LEFT JOIN (
+  SELECT p.item_id, p.doc_id, d.n_chars, l.quality, l.toxic FROM pairs p JOIN documents d USING (doc_id)
+  LEFT JOIN labels l USING (doc_id)) a USING (item_id)"""
