@@ -368,3 +368,252 @@ def q_training_set(spark, sf_dir):
         "item_id", "quest", "doc_id", "n_chars",
         F.col("quality").cast("bigint").alias("quality"),
         F.col("toxic").cast("bigint").alias("toxic"))
+
+
+# ---------------------------------------------------------------------------
+# Store, bookmarks, frontier
+# ---------------------------------------------------------------------------
+from statuta.operators import frontier as FR  # noqa: E402
+from statuta.operators import store as S  # noqa: E402
+
+
+def two_batches(df: DataFrame, batch_col: F.Column) -> tuple[DataFrame, DataFrame]:
+    x = df.withColumn("batch", batch_col.cast("bigint"))
+    return x.where(F.col("batch") == 1), x.where(F.col("batch") == 2)
+
+
+@register("insert_if_absent_text")
+def q_insert_if_absent_text(spark, sf_dir):
+    """MUT1/SNK2: documents arrive in two batches (English first); a text already
+    stored is not stored again; first by doc_id wins inside a batch."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "n_chars")
+    b1, b2 = two_batches(docs, F.when(F.col("lang") == "en", 1).otherwise(2))
+    sink = S.first_per_key(b1, ["text"], ["doc_id"])
+    final = S.insert_if_absent(sink, b2, ["text"], ["doc_id"])
+    return final.select("doc_id", "batch", "lang", "n_chars")
+
+
+def doc_links(spark, sf_dir) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("link"),
+                       "n_chars")
+
+
+@register("insert_if_absent_link")
+def q_insert_if_absent_link(spark, sf_dir):
+    """MUT2: key = link; short documents arrive first."""
+    b1, b2 = two_batches(doc_links(spark, sf_dir),
+                         F.when(F.col("n_chars") < 2000, 1).otherwise(2))
+    sink = S.first_per_key(b1, ["link"], ["doc_id"])
+    return S.insert_if_absent(sink, b2, ["link"], ["doc_id"]).select("link", "doc_id", "batch")
+
+
+@register("seen_links")
+def q_seen_links(spark, sf_dir):
+    return S.seen(documents(spark, sf_dir).select("doc_id", "source"),
+                  table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@register("unseen_links")
+def q_unseen_links(spark, sf_dir):
+    return S.unseen(documents(spark, sf_dir).select("doc_id", "source"),
+                    table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def event_links(spark, sf_dir) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", "ts", "user_id", "event_type",
+                     F.concat(F.lit("/p/"), F.floor("value").cast("string")).alias("link"))
+
+
+@register("visited_append")
+def q_visited_append(spark, sf_dir):
+    """MUT3: every view appends its link, no check (duplicates stay)."""
+    return event_links(spark, sf_dir).where(F.col("event_type") == "view").select(
+        "user_id", "link", "event_id")
+
+
+@register("bookmark_latest")
+def q_bookmark_latest(spark, sf_dir):
+    """MUT4/MUT5: per crawler (user) the bookmark is the latest link by (ts, event_id)."""
+    return S.latest(event_links(spark, sf_dir), ["user_id"], ["link"], ["ts", "event_id"])
+
+
+@register("bookmark_cleared")
+def q_bookmark_cleared(spark, sf_dir):
+    """MUT6: an 'error' event clears the bookmark; the last operation decides."""
+    ops = event_links(spark, sf_dir).withColumn(
+        "op", F.when(F.col("event_type") == "error", "clear").otherwise("set"))
+    return S.apply_bookmark_ops(ops, ["user_id"], "op", "link", ["ts", "event_id"])
+
+
+def supply_edges(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    return li.select(s.alias("src"), p.alias("dst")).unionByName(li.select(p.alias("src"), s.alias("dst")))
+
+
+def supply_seed(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.agg(F.concat(F.lit("s"), F.min("l_suppkey").cast("string")).alias("node"))
+
+
+@register("frontier_round")
+def q_frontier_round(spark, sf_dir):
+    out = FR.bfs_rounds(spark, supply_edges(spark, sf_dir), supply_seed(spark, sf_dir), symmetric=True)
+    return out.select("node", F.col("round").cast("bigint").alias("round"))
+
+
+@register("frontier_reach")
+def q_frontier_reach(spark, sf_dir):
+    out = FR.bfs_rounds(spark, supply_edges(spark, sf_dir), supply_seed(spark, sf_dir), symmetric=True)
+    return out.groupBy(F.col("round").cast("bigint").alias("round")).agg(
+        F.count(F.lit(1)).alias("n_new"))
+
+
+# ---------------------------------------------------------------------------
+# Lookups, question filters, lines, seeds, quarantine
+# ---------------------------------------------------------------------------
+from statuta.session import broadcast_if_small  # noqa: E402
+
+DIM_BROADCAST_ROWS = 1_000_000
+
+
+@register("law_lookup")
+def q_law_lookup(spark, sf_dir):
+    """JN1: case-folded name -> 1-based id; unknown names are marked, not raised."""
+    nation = table(spark, sf_dir, "nation")
+    dim = nation.select(T.fold_case("n_name").alias("name_key"),
+                        (F.col("n_nationkey") + 1).cast("bigint").alias("law_id"))
+    dim, _ = broadcast_if_small(dim, DIM_BROADCAST_ROWS)
+    names, _ = broadcast_if_small(nation.select("n_nationkey", "n_name"), DIM_BROADCAST_ROWS)
+    cust = table(spark, sf_dir, "customer").join(
+        names, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    fact = cust.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("n_name"))
+                       .otherwise(F.col("c_mktsegment")).alias("name"))
+    out = fact.join(dim, T.fold_case("name") == F.col("name_key"), "left")
+    return out.select("c_custkey", "name", "law_id",
+                      F.when(F.col("law_id").isNull(), "unknown").otherwise("ok").alias("status"))
+
+
+def conversation_questions(spark, sf_dir) -> DataFrame:
+    """CSV-like question rows from conversations: a user turn is a question; the
+    next assistant turn with at least four lines makes it multiple choice (its
+    first four lines are the choices), otherwise true/false; no assistant reply
+    -> no format (dropped by FLT1).  The first turn has no article (NaN)."""
+    from pyspark.sql import Window
+
+    conv = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = (conv.withColumn("next_role", F.lead("role").over(w))
+         .withColumn("next_text", F.lead("text").over(w))
+         .where(F.col("role") == "user"))
+    reply = T.lines("next_text")
+    fmt = (F.when((F.col("next_role") == "assistant") & (F.size(reply) >= 4), F.lit(T.MULTIPLE_CHOICE_TYPE))
+           .when(F.col("next_role") == "assistant", F.lit("Đúng/Sai")))
+    return x.select(
+        "conv_id", "turn", fmt.alias("format"),
+        F.concat(F.col("conv_id").cast("string"), F.lit(". LUẬT")).alias("law"),
+        F.when(F.col("turn") > 0, F.concat(F.col("turn").cast("string"), F.lit(".0"))).alias("art"),
+        F.col("text").alias("quest"),
+        *[F.get(reply, i).alias(c) for i, c in enumerate(QA.CHOICE_LETTERS)])
+
+
+@register("qa_filter")
+def q_qa_filter(spark, sf_dir):
+    """FLT1 + FLT2: keep rows with a format, a question and an article; whole
+    floats become ints."""
+    q = conversation_questions(spark, sf_dir)
+    return (q.where(F.col("format").isNotNull())
+            .where(F.col("quest").isNotNull() & F.col("art").isNotNull())
+            .select("conv_id", "turn", "format", "law", T.whole_float_to_int("art").alias("art"), "quest"))
+
+
+@register("qa_kind_split")
+def q_qa_kind_split(spark, sf_dir):
+    """FLT3 + PRJ4/PRJ5: multiple choice vs everything else, with the projection
+    (quest, A, B, C, D) for multiple choice and the gold keys."""
+    q = conversation_questions(spark, sf_dir).where(F.col("format").isNotNull()).where(
+        F.col("quest").isNotNull() & F.col("art").isNotNull())
+    mc = F.col("format") == T.MULTIPLE_CHOICE_TYPE
+    return q.select(
+        "conv_id", "turn", F.when(mc, "mc").otherwise("tf").alias("kind"),
+        F.array_join(T.gold_keys("law", "art"), "|").alias("gold"),
+        *[F.when(mc, F.col(c)).alias(c) for c in QA.CHOICE_LETTERS])
+
+
+@register("text_lines")
+def q_text_lines(spark, sf_dir):
+    """SRC2/TX14: lines with their number and token count."""
+    s = sentence_corpus(spark, sf_dir)
+    return s.select("doc_id", "line_no", F.col("text").alias("line"),
+                    F.size(T.tokens("text")).cast("bigint").alias("n_tokens"))
+
+
+SEED_BASE = "https://legal.example/search?page="
+SEED_START = 4000
+
+
+@register("seed_urls")
+def q_seed_urls(spark, sf_dir):
+    """SRC5: result-page URLs numbered from 4000, one per landed page."""
+    pages = table(spark, sf_dir, "pages")
+    no = (F.col("page_id") + SEED_START).cast("bigint")
+    return pages.select(no.alias("page_no"), F.concat(F.lit(SEED_BASE), no.cast("string")).alias("url"))
+
+
+@register("quarantine_split")
+def q_quarantine_split(spark, sf_dir):
+    """ST5: the first token of each line must be an integer; failures are kept in
+    a quarantine status instead of raising."""
+    s = dirty_text_input(spark, sf_dir).select(
+        "doc_id", F.posexplode(T.lines("text")).alias("line_no", "line"))
+    tok = F.get(T.tokens("line"), 0)
+    val = tok.try_cast("bigint")
+    return s.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), tok.alias("token"),
+                    val.alias("value"),
+                    F.when(val.isNull(), "quarantine").otherwise("ok").alias("status"))
+
+
+# ---------------------------------------------------------------------------
+# Page links and paragraphs (regex form over the landed pages)
+# ---------------------------------------------------------------------------
+HREF = r'<a href="([^"]*)"'
+LINK_BASE = "https://legal.example/page/"
+
+
+@register("page_links")
+def q_page_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(HREF), 1))
+                        .alias("pos", "href")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@register("page_links_absolute")
+def q_page_links_absolute(spark, sf_dir):
+    """XT10: plain prefixing, not URL resolution."""
+    return q_page_links(spark, sf_dir).select(
+        "page_id", "pos", F.concat(F.lit(LINK_BASE), F.col("href")).alias("url"))
+
+
+@register("page_links_union")
+def q_page_links_union(spark, sf_dir):
+    """XT9 + SET1 + AGG12: links of the navigation block followed by the links of
+    the rest of the page (duplicates kept), then made distinct."""
+    pages = table(spark, sf_dir, "pages")
+    nav = F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1)
+    rest = F.substring_index("html", "</nav>", -1)
+    b0 = pages.select(F.explode(F.regexp_extract_all(nav, F.lit(HREF), 1)).alias("href"))
+    b1 = pages.select(F.explode(F.regexp_extract_all(rest, F.lit(HREF), 1)).alias("href"))
+    return b0.unionAll(b1).distinct()
+
+
+@register("paragraphs_merged")
+def q_paragraphs_merged(spark, sf_dir):
+    """XT5 (regex form): each <p>...</p> stripped of tags, joined by one space."""
+    pages = table(spark, sf_dir, "pages")
+    paras = F.regexp_extract_all("html", F.lit(r"(?d)<p>(.*?)</p>"), 1)
+    return pages.select("page_id", F.array_join(F.transform(paras, lambda p: T.strip_tags(p)), " ")
+                        .alias("content"),
+                        F.size(paras).cast("bigint").alias("n_paragraphs"))

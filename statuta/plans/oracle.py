@@ -295,3 +295,80 @@ SELECT b.item_id, b.text AS quest, a.doc_id, a.n_chars, CAST(a.quality AS BIGINT
 FROM benchmark b LEFT JOIN (
   SELECT p.item_id, p.doc_id, d.n_chars, l.quality, l.toxic FROM pairs p JOIN documents d USING (doc_id)
   LEFT JOIN labels l USING (doc_id)) a USING (item_id)"""
+
+# --- store, bookmarks, frontier, lookups ------------------------------------
+
+SQL["insert_if_absent_text"] = """WITH d AS (SELECT doc_id, text, lang, n_chars,
+    CAST(CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS BIGINT) AS batch FROM documents),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch, text ORDER BY doc_id) AS rn FROM d) WHERE rn = 1),
+s1 AS (SELECT * FROM f WHERE batch = 1),
+s2 AS (SELECT * FROM f WHERE batch = 2 AND text NOT IN (SELECT text FROM s1))
+SELECT doc_id, batch, lang, n_chars FROM s1 UNION ALL SELECT doc_id, batch, lang, n_chars FROM s2"""
+SQL["insert_if_absent_link"] = """WITH d AS (SELECT doc_id, '/' || source || '/' || lang AS link,
+    CAST(CASE WHEN n_chars < 2000 THEN 1 ELSE 2 END AS BIGINT) AS batch FROM documents),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch, link ORDER BY doc_id) AS rn FROM d) WHERE rn = 1),
+s1 AS (SELECT * FROM f WHERE batch = 1),
+s2 AS (SELECT * FROM f WHERE batch = 2 AND link NOT IN (SELECT link FROM s1))
+SELECT link, doc_id, batch FROM s1 UNION ALL SELECT link, doc_id, batch FROM s2"""
+SQL["seen_links"] = "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
+SQL["unseen_links"] = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"
+EV = "(SELECT event_id, ts, user_id, event_type, '/p/' || CAST(floor(value) AS BIGINT) AS link FROM events)"
+SQL["visited_append"] = f"SELECT user_id, link, event_id FROM {EV} WHERE event_type = 'view'"
+SQL["bookmark_latest"] = f"SELECT user_id, arg_max(link, (ts, event_id)) AS link FROM {EV} GROUP BY user_id"
+SQL["bookmark_cleared"] = f"""SELECT user_id, CASE WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN NULL
+  ELSE arg_max(link, (ts, event_id)) END AS link FROM {EV} GROUP BY user_id"""
+FRONTIER = """WITH RECURSIVE e AS (
+  SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem
+  UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
+seed AS (SELECT 's' || min(l_suppkey) AS node FROM lineitem),
+walk(node, d) AS (SELECT node, 0 FROM seed
+                  UNION SELECT e.dst, w.d + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.d < 24),
+rounds AS (SELECT node, CAST(min(d) AS BIGINT) AS round FROM walk GROUP BY node)"""
+SQL["frontier_round"] = f"{FRONTIER} SELECT node, round FROM rounds"
+SQL["frontier_reach"] = f"{FRONTIER} SELECT round, count(*) AS n_new FROM rounds GROUP BY round"
+SQL["law_lookup"] = """WITH dim AS (SELECT lower(n_name) AS name_key, CAST(n_nationkey + 1 AS BIGINT) AS law_id FROM nation),
+fact AS (SELECT c.c_custkey, CASE WHEN c.c_acctbal >= 0 THEN n.n_name ELSE c.c_mktsegment END AS name
+         FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)
+SELECT f.c_custkey, f.name, d.law_id, CASE WHEN d.law_id IS NULL THEN 'unknown' ELSE 'ok' END AS status
+FROM fact f LEFT JOIN dim d ON lower(f.name) = d.name_key"""
+CONVQ = """cq0 AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
+         WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+cq AS (SELECT conv_id, turn,
+         CASE WHEN next_role = 'assistant' AND len(string_split(next_text, chr(10))) >= 4 THEN 'Trắc nghiệm'
+              WHEN next_role = 'assistant' THEN 'Đúng/Sai' END AS format,
+         conv_id || '. LUẬT' AS law, CASE WHEN turn > 0 THEN turn || '.0' END AS art, text AS quest,
+         string_split(next_text, chr(10))[1] AS A, string_split(next_text, chr(10))[2] AS B,
+         string_split(next_text, chr(10))[3] AS C, string_split(next_text, chr(10))[4] AS D
+       FROM cq0 WHERE role = 'user'),
+cqf AS (SELECT * FROM cq WHERE format IS NOT NULL AND quest IS NOT NULL AND art IS NOT NULL)"""
+SQL["qa_filter"] = f"""WITH {CONVQ} SELECT conv_id, turn, format, law,
+  regexp_replace(art, '^(\\d+)\\.0+$', '\\1') AS art, quest FROM cqf"""
+SQL["qa_kind_split"] = f"""WITH {CONVQ} SELECT conv_id, turn,
+  CASE WHEN format = 'Trắc nghiệm' THEN 'mc' ELSE 'tf' END AS kind,
+  array_to_string({gold_keys_sql('law', 'art', False)}, '|') AS gold,
+  CASE WHEN format = 'Trắc nghiệm' THEN A END AS A, CASE WHEN format = 'Trắc nghiệm' THEN B END AS B,
+  CASE WHEN format = 'Trắc nghiệm' THEN C END AS C, CASE WHEN format = 'Trắc nghiệm' THEN D END AS D
+FROM cqf"""
+SQL["text_lines"] = f"""SELECT doc_id, line_no, text AS line, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_tokens
+FROM ({SENTENCES_SQL})"""
+SQL["seed_urls"] = """SELECT CAST(page_id + 4000 AS BIGINT) AS page_no,
+  'https://legal.example/search?page=' || CAST(page_id + 4000 AS BIGINT) AS url FROM pages"""
+SQL["quarantine_split"] = f"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS line_no, unnest(s) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM {DIRTY_INPUT}))
+SELECT doc_id, line_no, string_split(line, ' ')[1] AS token, TRY_CAST(string_split(line, ' ')[1] AS BIGINT) AS value,
+  CASE WHEN TRY_CAST(string_split(line, ' ')[1] AS BIGINT) IS NULL THEN 'quarantine' ELSE 'ok' END AS status FROM l"""
+HREF_RE = '<a href="([^"]*)"'
+SQL["page_links"] = f"""SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS BIGINT) AS pos, unnest(h) AS href
+FROM (SELECT page_id, regexp_extract_all(html, '{HREF_RE}', 1) AS h FROM pages)"""
+SQL["page_links_absolute"] = f"""SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS BIGINT) AS pos,
+  'https://legal.example/page/' || unnest(h) AS url
+FROM (SELECT page_id, regexp_extract_all(html, '{HREF_RE}', 1) AS h FROM pages)"""
+SQL["page_links_union"] = f"""SELECT DISTINCT href FROM (
+  SELECT unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '{HREF_RE}', 1)) AS href FROM pages
+  UNION ALL
+  SELECT unnest(regexp_extract_all(CASE WHEN contains(html, '</nav>') THEN split_part(html, '</nav>', -1) ELSE html END,
+                '{HREF_RE}', 1)) FROM pages)"""
+SQL["paragraphs_merged"] = """SELECT page_id,
+  array_to_string(list_transform(regexp_extract_all(html, '<p>(.*?)</p>', 1),
+                                 lambda p: regexp_replace(p, '<.*?>', '', 'g')), ' ') AS content,
+  CAST(len(regexp_extract_all(html, '<p>(.*?)</p>', 1)) AS BIGINT) AS n_paragraphs FROM pages"""
