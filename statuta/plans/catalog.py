@@ -617,3 +617,69 @@ def q_paragraphs_merged(spark, sf_dir):
     return pages.select("page_id", F.array_join(F.transform(paras, lambda p: T.strip_tags(p)), " ")
                         .alias("content"),
                         F.size(paras).cast("bigint").alias("n_paragraphs"))
+
+
+# ---------------------------------------------------------------------------
+# HTML: shred + extraction (landed pages plus the probe pages of each layout)
+# ---------------------------------------------------------------------------
+from statuta.operators import html as H  # noqa: E402
+from statuta.operators.shred import shred  # noqa: E402
+from statuta.plans.probes import page_probe_frame  # noqa: E402
+
+
+def all_pages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").unionByName(page_probe_frame(spark))
+
+
+def shredded(spark, sf_dir, pages: DataFrame | None = None) -> DataFrame:
+    from pyspark import StorageLevel
+
+    pages = pages if pages is not None else all_pages(spark, sf_dir)
+    return shred(pages).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+@register("element_counts")
+def q_element_counts(spark, sf_dir):
+    """XT0: start tags per page and tag, counted on the shredded relation."""
+    el = shred(table(spark, sf_dir, "pages"))
+    return el.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("doc_header_fields")
+def q_doc_header_fields(spark, sf_dir):
+    pages = all_pages(spark, sf_dir)
+    return H.header_fields(shredded(spark, sf_dir, pages), pages)
+
+
+@register("doc_tables")
+def q_doc_tables(spark, sf_dir):
+    return H.appendix_tables(shredded(spark, sf_dir))
+
+
+@register("doc_content_appendix")
+def q_doc_content_appendix(spark, sf_dir):
+    pages = all_pages(spark, sf_dir)
+    return H.content_and_appendix(shredded(spark, sf_dir, pages), pages)
+
+
+@register("doc_paragraph_fallback")
+def q_doc_paragraph_fallback(spark, sf_dir):
+    p = H.paragraphs(shredded(spark, sf_dir))
+    return p.select("page_id", F.col("level").cast("bigint").alias("level"), "content")
+
+
+@register("main_text")
+def q_main_text(spark, sf_dir):
+    pages = all_pages(spark, sf_dir)
+    return H.main_text(shredded(spark, sf_dir, pages), pages)
+
+
+@register("document_links")
+def q_document_links(spark, sf_dir):
+    return H.document_links(shredded(spark, sf_dir)).select(
+        "page_id", F.col("block").cast("bigint").alias("block"), "href")
+
+
+@register("pager_links")
+def q_pager_links(spark, sf_dir):
+    return H.pager_links(shredded(spark, sf_dir), LINK_BASE).select("page_id", "url")

@@ -372,3 +372,8 @@ SQL["paragraphs_merged"] = """SELECT page_id,
   array_to_string(list_transform(regexp_extract_all(html, '<p>(.*?)</p>', 1),
                                  lambda p: regexp_replace(p, '<.*?>', '', 'g')), ' ') AS content,
   CAST(len(regexp_extract_all(html, '<p>(.*?)</p>', 1)) AS BIGINT) AS n_paragraphs FROM pages"""
+
+# --- HTML ------------------------------------------------------------------
+SQL["element_counts"] = """SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
+GROUP BY page_id, lower(tag)"""

@@ -47,3 +47,37 @@ def sql_str(s: str) -> str:
 def probe_sql(id_col: str, text_col: str) -> str:
     rows = ", ".join(f"({i}, {sql_str(t)})" for i, t in TEXT_PROBES)
     return f"SELECT * FROM (VALUES {rows}) AS probe({id_col}, {text_col})"
+
+
+# Fixed probe pages (page_id, url, html) in the layouts the extraction rules target.
+DOC_PAGE = ('<div id="divContentDoc"><div class="content1"><div><div><table><tr><td>ỦY BAN</td>'
+            '<td>CỘNG HÒA</td></tr><tr><td>Số: 1/QĐ</td><td>Hà Nội, ngày 1</td></tr></table>'
+            '<p>Điều 1. <b>A</b></p><p>Điều 2. B</p><table><tr><td>Nơi nhận: X</td><td>Ông Y</td>'
+            '</tr></table>phụ lục <table class="t"><tr><td>1</td><td>2</td></tr></table>hết'
+            '</div></div></div></div>')
+DEEP_PAGE = ('<html><body><div id="divContentDoc"><div class="content1"><div><div><table><tr><td>SỞ'
+             '<td>CỘNG HÒA<tr><td>Số: 2/QĐ<td>ngày "2"</table><div><p>Điều 1. Sâu</p>'
+             '<p>Điều 2. it\'s</div><table><tr><td>Nơi nhận:\nZ<td>Bà W</table></div></div></div>'
+             '</div></body></html>')
+ONE_TABLE_PAGE = ('<div id="divContentDoc"><div class="content1"><div><div><table><tr><td>A</td>'
+                  '<td>B</td></tr></table><p>x</p></div></div></div></div>')
+RESULT_PAGE = ('<div id="block-info-advan"><div>head</div><div><div class="content-0"><div class="left-col">'
+               '<div class="nq"><p class="nqTitle"><a href="u1">1</a></p></div><div class="nq">'
+               '<p class="nqTitle"><a href="u2">2</a></p></div></div></div><div class="content-1">'
+               '<div class="left-col"><div class="nq"><p class="nqTitle"><a href="u2">2</a></p></div>'
+               '<div class="nq"><p class="nqTitle"><a href="u3">3</a></p></div></div></div></div></div>'
+               '<div class="cmPager"><a href="tim.aspx?page=2">2</a></div>')
+STATUTE_PAGE = ('<html><body><div id="toanvancontent"><p>LUẬT  MẪU</p>\n<p>Chương I</p>\n\n'
+                '<p>Điều 1. Phạm   vi</p>\n \n<p>\t"a" it\'s &amp; &copy;</p>\n<p>Điều 2. Hai</p>'
+                '\n<p>b</p></div></body></html>')
+PAGE_PROBES = [
+    (-101, "u1", DOC_PAGE),
+    (-102, "u2", DEEP_PAGE),
+    (-103, "u3", ONE_TABLE_PAGE),
+    (-104, "https://legal.example/search?page=1", RESULT_PAGE),
+    (-105, "https://laws.example/statute/1", STATUTE_PAGE),
+]
+
+
+def page_probe_frame(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PAGE_PROBES, "page_id bigint, url string, html string")
