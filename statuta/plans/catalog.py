@@ -683,3 +683,127 @@ def q_document_links(spark, sf_dir):
 @register("pager_links")
 def q_pager_links(spark, sf_dir):
     return H.pager_links(shredded(spark, sf_dir), LINK_BASE).select("page_id", "url")
+
+
+# ---------------------------------------------------------------------------
+# Streaming ingest (files land in the shared folder; the sink is read back)
+# ---------------------------------------------------------------------------
+from statuta.session import scratch_path  # noqa: E402
+from statuta.streaming import ingest as ST  # noqa: E402
+
+
+def _doc_batches(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "n_chars")
+    return two_batches(docs, F.when(F.col("lang") == "en", 1).otherwise(2))
+
+
+@register("stream_insert_if_absent")
+def q_stream_insert_if_absent(spark, sf_dir):
+    """ST1 + ST3: both batches land, one availableNow run stores each text once."""
+    base = scratch_path(spark, "stream_ingest")
+    b1, b2 = _doc_batches(spark, sf_dir)
+    ST.land(b1, f"{base}/landing")
+    ST.land(b2, f"{base}/landing")
+    ST.insert_if_absent_stream(spark, f"{base}/landing", b1.schema, f"{base}/sink",
+                               f"{base}/checkpoint", ["text"], ["doc_id"])
+    return spark.read.parquet(f"{base}/sink").select("doc_id", "batch", "lang", "n_chars")
+
+
+@register("stream_resume")
+def q_stream_resume(spark, sf_dir):
+    """ST2: run, land more, run again on the same checkpoint, then replay the second
+    batch under a fresh checkpoint -- the sink holds each text once."""
+    base = scratch_path(spark, "stream_resume")
+    b1, b2 = _doc_batches(spark, sf_dir)
+    args = (b1.schema, f"{base}/sink")
+    ST.land(b1, f"{base}/landing")
+    ST.insert_if_absent_stream(spark, f"{base}/landing", *args, f"{base}/checkpoint", ["text"], ["doc_id"])
+    ST.land(b2, f"{base}/landing")
+    ST.insert_if_absent_stream(spark, f"{base}/landing", *args, f"{base}/checkpoint", ["text"], ["doc_id"])
+    ST.land(b2, f"{base}/replay")
+    ST.insert_if_absent_stream(spark, f"{base}/replay", *args, f"{base}/checkpoint2", ["text"], ["doc_id"])
+    return spark.read.parquet(f"{base}/sink").select("doc_id", "batch", "lang", "n_chars")
+
+
+# ---------------------------------------------------------------------------
+# End-to-end jobs over driver-derived files
+# ---------------------------------------------------------------------------
+from statuta.plans import jobs as J  # noqa: E402
+from statuta.sources import files as FS  # noqa: E402
+
+
+def _statute_files(spark, sf_dir, base) -> DataFrame:
+    """SNK1 -> SRC2 round trip: lineitem statutes as text files, read back by line."""
+    lines = lineitem_statutes(spark, sf_dir)
+    texts = lines.groupBy("law_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct(F.col("line_no").alias("o"), F.col("raw").alias("v")))), lambda s: s["v"]), "\n").alias("text"))
+    # parquet of whole texts (one text file per law would be one file per order here)
+    texts.write.mode("overwrite").parquet(f"{base}/statutes")
+    return A.statute_lines_from_text(spark.read.parquet(f"{base}/statutes"))
+
+
+def _lineitem_questions(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber").cast("string")
+    return li.select(
+        F.col("l_returnflag").alias("part"),
+        F.lit(None).cast("string").alias("STT"),
+        F.when(F.col("l_linestatus") == "O", F.lit(T.MULTIPLE_CHOICE_TYPE)).otherwise(F.lit("Đúng/Sai")).alias("format"),
+        F.concat(F.col("l_orderkey").cast("string"), F.lit(". LUẬT")).alias("law"),
+        F.when(F.col("l_returnflag") == "A", F.concat(n, F.lit(".0"))).otherwise(n).alias("art"),
+        F.lit(None).cast("string").alias("art_cont"),
+        # tokens split on spaces only, so "status\ndate" is a token of the article text
+        F.concat(F.col("l_linestatus"), F.lit("\n"), F.col("l_shipdate").cast("date").cast("string")).alias("quest"),
+        F.lit(None).cast("string").alias("anws"),
+        F.col("l_returnflag").alias("A"), F.col("l_linestatus").alias("B"),
+        F.col("l_quantity").cast("string").alias("C"), F.lit(None).cast("string").alias("D"),
+        F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("comment"))
+
+
+@register("eval_csv")
+def q_eval_csv(spark, sf_dir):
+    """DS3 + SRC3: one CSV file of questions per return flag, statutes from lineitem."""
+    base = scratch_path(spark, "eval_csv")
+    lines = _statute_files(spark, sf_dir, base)
+    q = _lineitem_questions(spark, sf_dir)
+    (q.repartition("part").write.mode("overwrite").partitionBy("part")
+     .option("header", True).csv(f"{base}/questions"))
+    return J.eval_csv(spark, lines, f"{base}/questions").select(
+        F.regexp_extract("file", r"part=([^/]+)/", 1).alias("part"), "n", "accuracy", "any_match")
+
+
+@register("eval_json")
+def q_eval_json(spark, sf_dir):
+    """DS4 + SRC4 + JN1: JSON questions naming their statute by title."""
+    base = scratch_path(spark, "eval_json")
+    lines = _statute_files(spark, sf_dir, base)
+    q = _lineitem_questions(spark, sf_dir)
+    js = q.select(
+        F.concat_ws("-", F.col("law"), F.col("art"), F.col("quest"), F.col("C")).alias("quest_id"),
+        F.col("format").alias("question_type"), F.col("quest").alias("text"),
+        F.array(F.struct(T.whole_float_to_int("art").alias("article_id"),
+                         F.concat(F.lit("luật  "), F.split_part("law", F.lit("."), F.lit(1))).alias("law_id")))
+        .alias("relevant_articles"),
+        F.struct(*[F.col(c) for c in QA.CHOICE_LETTERS]).alias("choices")).dropDuplicates(["quest_id"])
+    js.write.mode("overwrite").json(f"{base}/questions")
+    names = lines.where(F.col("line_no") == 0).select(
+        "law_id", F.col("raw").alias("name"), F.lower("raw").alias("name_key"))
+    return J.eval_json(spark, lines, f"{base}/questions", names=names, multiline=False)
+
+
+@register("statute_text")
+def q_statute_text(spark, sf_dir):
+    """DS5 + SNK1 + SRC2: statute pages -> cleaned text files -> lines -> articles."""
+    base = scratch_path(spark, "statute_text")
+    J.statute_text(all_pages(spark, sf_dir), out_dir=f"{base}/text")
+    return A.segment_articles(FS.read_statute_text(spark, f"{base}/text"))
+
+
+@register("pages_to_documents")
+def q_pages_to_documents(spark, sf_dir):
+    """DS6: store the documents linked from result pages; a second run adds nothing."""
+    base = scratch_path(spark, "doc_store")
+    pages = all_pages(spark, sf_dir)
+    J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
+    J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
+    return spark.read.parquet(f"{base}/store")

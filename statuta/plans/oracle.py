@@ -377,3 +377,6 @@ SQL["paragraphs_merged"] = """SELECT page_id,
 SQL["element_counts"] = """SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (
   SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
 GROUP BY page_id, lower(tag)"""
+
+SQL["stream_insert_if_absent"] = SQL["insert_if_absent_text"]
+SQL["stream_resume"] = SQL["insert_if_absent_text"]
