@@ -84,7 +84,7 @@ def normalize_whitespace(c, compat: bool = False) -> Column:
     for pattern, repl in (("  ", " "), (" \n", "\n"), ("\n ", "\n"),
                           ("\n \n", "\n"), ("\n\n", "\n")):
         for _ in range(10):
-            c = F.regexp_replace(c, pattern, repl)
+            c = F.replace(c, F.lit(pattern), F.lit(repl))
     return c
 
 

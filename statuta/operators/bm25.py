@@ -109,7 +109,7 @@ def scores(index: Bm25Index, queries: DataFrame, qkey_cols: list[str],
     qt_small, _ = broadcast_if_small(qt, QUERY_BROADCAST_ROWS)
     weighted = index.vocab.join(qt_small, "token").select(
         *qkey_cols, "token", (F.col("qtf") * F.col("idf")).alias("w"))
-    weighted_small, _ = broadcast_if_small(weighted, QUERY_BROADCAST_ROWS)
+    weighted_small, _ = broadcast_if_small(weighted, QUERY_BROADCAST_ROWS, persist=True)
     avgdl = index.stats.select("avgdl").scalar()
     tf = F.col("tf")
     norm = tf + K1 * (1 - B + B * F.col("dl") / avgdl)

@@ -10,6 +10,7 @@ size-checked broadcast nested-loop join.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,9 @@ def containment_pairs(passages: DataFrame, pkey_cols: list[str], docs: DataFrame
     p = passages.select(*pkey_cols, F.col(ptext).alias("ptext"))
     if not compat:
         p = p.where(py_strip(F.col("ptext")) != "")
-    p = p.withColumn("ntok", F.size(tokens("ptext")))
+    p = p.withColumn("ntok", F.size(tokens("ptext"))).persist(StorageLevel.MEMORY_AND_DISK)
     d = docs.select(doc_key, F.col(dtext).alias("dtext"))
-    dt = dtokens if dtokens is not None else doc_tokens(docs, doc_key, dtext)
+    dt = dtokens if dtokens is not None else doc_tokens(docs, doc_key, dtext).persist(StorageLevel.MEMORY_AND_DISK)
 
     # long passages: rarest interior token
     long_p = p.where(F.col("ntok") >= 3)
@@ -47,22 +48,22 @@ def containment_pairs(passages: DataFrame, pkey_cols: list[str], docs: DataFrame
         *pkey_cols,
         F.explode(F.array_distinct(F.slice(tokens("ptext"), 2, F.col("ntok") - 2))).alias("token"))
     df = dt.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    interior_small, _ = broadcast_if_small(interior, CANDIDATE_BROADCAST_ROWS)
+    interior_small, _ = broadcast_if_small(interior, CANDIDATE_BROADCAST_ROWS, persist=True)
     rated = df.join(interior_small, "token", "right").select(
         *pkey_cols, "token", F.coalesce(F.col("df"), F.lit(0)).alias("df"))
     pick = rated.groupBy(*pkey_cols).agg(
         F.min_by("token", F.struct("df", "token")).alias("token"))
-    pick_small, _ = broadcast_if_small(pick, CANDIDATE_BROADCAST_ROWS)
+    pick_small, _ = broadcast_if_small(pick, CANDIDATE_BROADCAST_ROWS, persist=True)
     cand = dt.join(pick_small, "token").select(*pkey_cols, doc_key)
     cand = cand.join(long_p.select(*pkey_cols, "ptext"), pkey_cols)
-    cand_small, _ = broadcast_if_small(cand, CANDIDATE_BROADCAST_ROWS)
+    cand_small, _ = broadcast_if_small(cand, CANDIDATE_BROADCAST_ROWS, persist=True)
     long_hits = (d.join(cand_small, doc_key)
                  .where(F.col("dtext").contains(F.col("ptext")))
                  .select(*pkey_cols, doc_key))
 
     # short passages: nested loop against all documents
     short_p = p.where(F.col("ntok") < 3).select(*pkey_cols, "ptext")
-    short_small, _ = broadcast_if_small(short_p, SHORT_BROADCAST_ROWS)
+    short_small, _ = broadcast_if_small(short_p, SHORT_BROADCAST_ROWS, persist=True)
     short_hits = (d.join(short_small, F.col("dtext").contains(F.col("ptext")))
                   .select(*pkey_cols, doc_key))
     return long_hits.unionByName(short_hits)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from statuta.functions import text as T
 from statuta.operators import bm25
 from statuta.plans.probes import probe_frame
+from statuta.session import spread
 from statuta.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,19 +34,19 @@ def register(name: str):
 # ---------------------------------------------------------------------------
 
 def html_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"])
     return pages.unionByName(probe_frame(spark, "page_id", "html"))
 
 
 def dirty_text_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document text with extra spaces and blank lines (same expression as the oracle)."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         "doc_id", F.replace("text", F.lit(" t"), F.lit("  \n t")).alias("text"))
     return docs.unionByName(probe_frame(spark, "doc_id", "text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +278,10 @@ def all_forms(spark, sf_dir) -> DataFrame:
 
 
 def form_predictions(spark, sf_dir, idx) -> DataFrame:
-    return bm25.top1(idx, all_forms(spark, sf_dir), ["item_id", "choice_no"])
+    from pyspark import StorageLevel
+
+    return bm25.top1(idx, all_forms(spark, sf_dir), ["item_id", "choice_no"]).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
 
 def choice_vote(preds: DataFrame, items: DataFrame) -> DataFrame:
@@ -311,8 +315,8 @@ def q_sentence_hits(spark, sf_dir):
     idx = bm25.build_index(sents, ["doc_id", "line_no"])
     top = bm25.topk(idx, benchmark(spark, sf_dir), ["item_id"], 15).select(
         "item_id", "rank", "doc_id", "line_no")
-    top_text = sents.join(F.broadcast(top), ["doc_id", "line_no"]).select(
-        "item_id", "rank", "text")
+    top, _ = broadcast_if_small(top, 10_000_000, persist=True)
+    top_text = sents.join(top, ["doc_id", "line_no"]).select("item_id", "rank", "text")
     hits = C.containment_pairs(top_text, ["item_id", "rank"], documents(spark, sf_dir), "doc_id")
     tally = hits.groupBy("item_id", "doc_id").agg(
         F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first_rank"))
@@ -334,7 +338,7 @@ def judged_predictions(spark, sf_dir) -> DataFrame:
         F.lit("tf").alias("kind"), "item_id", F.col("doc_id").alias("pred"))
     mc = choice_vote(preds, items).select(
         F.lit("mc").alias("kind"), "item_id", F.col("doc_id").alias("pred"))
-    gold = passage_pairs(spark, sf_dir, dtokens=idx.tf)
+    gold = passage_pairs(spark, sf_dir, dtokens=idx.tf).persist()
     return QA.judge(tf.unionByName(mc), gold, ["item_id"], "pred", "doc_id"), gold
 
 
@@ -628,7 +632,7 @@ from statuta.plans.probes import page_probe_frame  # noqa: E402
 
 
 def all_pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").unionByName(page_probe_frame(spark))
+    return spread(table(spark, sf_dir, "pages"), ["page_id"]).unionByName(page_probe_frame(spark))
 
 
 def shredded(spark, sf_dir, pages: DataFrame | None = None) -> DataFrame:

@@ -52,12 +52,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+def broadcast_if_small(df: DataFrame, max_rows: int, persist: bool = False) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows.  Beyond the bound the frame is
     returned unchanged and Spark plans a shuffle join (AQE may still convert it).
+    ``persist`` keeps the checked frame so the join does not compute it again.
     """
+    if persist:
+        from pyspark import StorageLevel
+
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(df), True
