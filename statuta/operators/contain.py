@@ -5,8 +5,9 @@ Exact blocking rule: in ``p = t1 ' ' t2 ' ' ... ' ' tk`` every interior token
 ``ti`` is a whole token of ``split(text, ' ')``.  A passage with k >= 3 tokens is
 therefore equi-joined to the documents holding its rarest interior token, and only
 those candidates are checked with ``contains``.  Passages with fewer than three
-tokens have no interior token; they are checked against every document with a
-size-checked broadcast nested-loop join.
+tokens have no interior token; they are checked against every document with
+broadcast nested-loop joins over chunks of at most ``SHORT_BROADCAST_ROWS``
+passages, so the broadcast side stays bounded however many there are.
 """
 from __future__ import annotations
 
@@ -61,9 +62,15 @@ def containment_pairs(passages: DataFrame, pkey_cols: list[str], docs: DataFrame
                  .where(F.col("dtext").contains(F.col("ptext")))
                  .select(*pkey_cols, doc_key))
 
-    # short passages: nested loop against all documents
-    short_p = p.where(F.col("ntok") < 3).select(*pkey_cols, "ptext")
-    short_small, _ = broadcast_if_small(short_p, SHORT_BROADCAST_ROWS, persist=True)
-    short_hits = (d.join(short_small, F.col("dtext").contains(F.col("ptext")))
-                  .select(*pkey_cols, doc_key))
-    return long_hits.unionByName(short_hits)
+    # short passages: nested loop against all documents, in broadcast chunks of
+    # at most SHORT_BROADCAST_ROWS passages (never a cartesian product)
+    short_p = p.where(F.col("ntok") < 3).select(*pkey_cols, "ptext").persist(StorageLevel.MEMORY_AND_DISK)
+    n_short = short_p.count()
+    n_chunks = max(1, -(-n_short // SHORT_BROADCAST_ROWS))
+    out = long_hits
+    for chunk in range(n_chunks):
+        part = short_p if n_chunks == 1 else short_p.where(
+            F.pmod(F.xxhash64(*pkey_cols), F.lit(n_chunks)) == chunk)
+        out = out.unionByName(d.join(F.broadcast(part), F.col("dtext").contains(F.col("ptext")))
+                              .select(*pkey_cols, doc_key))
+    return out
