@@ -164,3 +164,25 @@ def topk(index: Bm25Index, queries: DataFrame, qkey_cols: list[str], k: int,
     return (s.where(F.col("score") > 0)
             .withColumn("rank", F.row_number().over(w).cast("bigint"))
             .where(F.col("rank") <= k))
+
+
+def write_index(index: Bm25Index, path: str) -> None:
+    """Store an index as parquet tables in a shared folder (build once, probe many).
+
+    ``tf`` is written clustered by token so a reader that filters on query tokens
+    reads few row groups; ``vocab`` and ``stats`` are small companions.
+    """
+    (index.tf.repartition("token").sortWithinPartitions("token")
+     .write.mode("overwrite").parquet(f"{path}/tf"))
+    index.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    index.first_key.write.mode("overwrite").parquet(f"{path}/first_key")
+    index.tf.sparkSession.createDataFrame([(",".join(index.key_cols),)], "keys string") \
+        .write.mode("overwrite").parquet(f"{path}/keys")
+
+
+def read_index(spark, path: str) -> Bm25Index:
+    """Open an index written by ``write_index``; nothing is recomputed."""
+    keys = spark.read.parquet(f"{path}/keys").first()["keys"].split(",")
+    return Bm25Index(keys, spark.read.parquet(f"{path}/tf"), spark.read.parquet(f"{path}/vocab"),
+                     spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/first_key"))

@@ -34,11 +34,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (tests, local
     runs) a folder under the warehouse directory is chosen and registered.
     """
-    sc = spark.sparkContext
-    configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        sc = None
+    configured = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
         configured = warehouse.rstrip("/") + "/_statuta_checkpoints"
+    if sc is None:
+        return configured
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -73,8 +78,11 @@ def spread(df: DataFrame, key_cols: list[str]) -> DataFrame:
     """Hash-partition by ``key_cols`` only when the scan yields fewer partitions
     than task slots (e.g. one large single-row-group file).  A many-file input
     keeps its scan partitioning and is not shuffled."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): keep the scan as is
+        return df
+    if n < target:
         return df.repartition(target, *key_cols)
     return df

@@ -69,3 +69,14 @@ def test_topk_order(spark):
     idx = bm25.build_index(corpus, ["doc_id"])
     got = [(r["rank"], r["doc_id"]) for r in bm25.topk(idx, qs, ["qid"], 2).orderBy("rank").collect()]
     assert [g[0] for g in got] == [1, 2]
+
+
+def test_index_round_trip(spark, scratch):
+    docs = ["a b a c", "b c d", "c d e e", "c f"]
+    corpus = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    qs = spark.createDataFrame([(0, "a b"), (1, "c")], "qid bigint, text string")
+    idx = bm25.build_index(corpus, ["doc_id"])
+    bm25.write_index(idx, f"{scratch}/idx")
+    again = bm25.read_index(spark, f"{scratch}/idx")
+    got = {r["qid"]: r["doc_id"] for r in bm25.top1(again, qs, ["qid"]).collect()}
+    assert got == {0: 0, 1: 3}
