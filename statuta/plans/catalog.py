@@ -13,10 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions import text as T
+from statuta.operators import articles as A
 from statuta.operators import bm25
+from statuta.operators import contain as C
+from statuta.operators import frontier as FR
+from statuta.operators import html as H
+from statuta.operators import qa as QA
+from statuta.operators import store as S
+from statuta.operators.shred import shred
+from statuta.plans import jobs as J
+from statuta.plans.probes import page_probe_frame
 from statuta.plans.probes import probe_frame
+from statuta.session import broadcast_if_small
+from statuta.session import scratch_path
 from statuta.session import spread
+from statuta.sources import files as FS
 from statuta.sources.tables import table
+from statuta.streaming import ingest as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -181,7 +194,6 @@ def q_bm25_top15(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Statute segmentation and article keys (driver-table statutes from lineitem)
 # ---------------------------------------------------------------------------
-from statuta.operators import articles as A  # noqa: E402
 
 
 def lineitem_statutes(spark, sf_dir) -> DataFrame:
@@ -241,8 +253,6 @@ def q_gold_labels(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Questions from benchmark passages, containment, votes, accuracy, dataset
 # ---------------------------------------------------------------------------
-from statuta.operators import contain as C  # noqa: E402
-from statuta.operators import qa as QA  # noqa: E402
 
 
 def benchmark_questions(spark, sf_dir) -> DataFrame:
@@ -377,8 +387,6 @@ def q_training_set(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Store, bookmarks, frontier
 # ---------------------------------------------------------------------------
-from statuta.operators import frontier as FR  # noqa: E402
-from statuta.operators import store as S  # noqa: E402
 
 
 def two_batches(df: DataFrame, batch_col: F.Column) -> tuple[DataFrame, DataFrame]:
@@ -479,7 +487,6 @@ def q_frontier_reach(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Lookups, question filters, lines, seeds, quarantine
 # ---------------------------------------------------------------------------
-from statuta.session import broadcast_if_small  # noqa: E402
 
 DIM_BROADCAST_ROWS = 1_000_000
 
@@ -626,9 +633,6 @@ def q_paragraphs_merged(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # HTML: shred + extraction (landed pages plus the probe pages of each layout)
 # ---------------------------------------------------------------------------
-from statuta.operators import html as H  # noqa: E402
-from statuta.operators.shred import shred  # noqa: E402
-from statuta.plans.probes import page_probe_frame  # noqa: E402
 
 
 def all_pages(spark, sf_dir) -> DataFrame:
@@ -692,8 +696,6 @@ def q_pager_links(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Streaming ingest (files land in the shared folder; the sink is read back)
 # ---------------------------------------------------------------------------
-from statuta.session import scratch_path  # noqa: E402
-from statuta.streaming import ingest as ST  # noqa: E402
 
 
 def _doc_batches(spark, sf_dir):
@@ -732,8 +734,6 @@ def q_stream_resume(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # End-to-end jobs over driver-derived files
 # ---------------------------------------------------------------------------
-from statuta.plans import jobs as J  # noqa: E402
-from statuta.sources import files as FS  # noqa: E402
 
 
 def _statute_files(spark, sf_dir, base) -> DataFrame:
