@@ -106,10 +106,12 @@ def scores(index: Bm25Index, queries: DataFrame, qkey_cols: list[str],
            text_col: str = "text") -> DataFrame:
     """(qkeys, keys, score) for every (query, document) sharing at least one token."""
     qt = query_terms(queries, qkey_cols, text_col)
-    qt_small, _ = broadcast_if_small(qt, QUERY_BROADCAST_ROWS)
+    qt_small, small = broadcast_if_small(qt, QUERY_BROADCAST_ROWS)
     weighted = index.vocab.join(qt_small, "token").select(
         *qkey_cols, "token", (F.col("qtf") * F.col("idf")).alias("w"))
-    weighted_small, _ = broadcast_if_small(weighted, QUERY_BROADCAST_ROWS, persist=True)
+    # vocab tokens are unique, so weighted has at most as many rows as qt: the
+    # check above bounds it too
+    weighted_small = F.broadcast(weighted) if small else weighted
     avgdl = index.stats.select("avgdl").scalar()
     tf = F.col("tf")
     norm = tf + K1 * (1 - B + B * F.col("dl") / avgdl)

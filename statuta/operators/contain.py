@@ -49,12 +49,13 @@ def containment_pairs(passages: DataFrame, pkey_cols: list[str], docs: DataFrame
         *pkey_cols,
         F.explode(F.array_distinct(F.slice(tokens("ptext"), 2, F.col("ntok") - 2))).alias("token"))
     df = dt.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    interior_small, _ = broadcast_if_small(interior, CANDIDATE_BROADCAST_ROWS, persist=True)
+    interior_small, interior_is_small = broadcast_if_small(interior, CANDIDATE_BROADCAST_ROWS, persist=True)
     rated = df.join(interior_small, "token", "right").select(
         *pkey_cols, "token", F.coalesce(F.col("df"), F.lit(0)).alias("df"))
     pick = rated.groupBy(*pkey_cols).agg(
         F.min_by("token", F.struct("df", "token")).alias("token"))
-    pick_small, _ = broadcast_if_small(pick, CANDIDATE_BROADCAST_ROWS, persist=True)
+    # one token per passage: bounded by the interior rows checked above
+    pick_small = F.broadcast(pick) if interior_is_small else pick
     cand = dt.join(pick_small, "token").select(*pkey_cols, doc_key)
     cand = cand.join(long_p.select(*pkey_cols, "ptext"), pkey_cols)
     cand_small, _ = broadcast_if_small(cand, CANDIDATE_BROADCAST_ROWS, persist=True)
