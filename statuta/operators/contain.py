@@ -30,11 +30,13 @@ def doc_tokens(docs: DataFrame, doc_key: str, text_col: str = "text") -> DataFra
 
 def containment_pairs(passages: DataFrame, pkey_cols: list[str], docs: DataFrame,
                       doc_key: str, ptext: str = "text", dtext: str = "text",
-                      compat: bool = False, dtokens: DataFrame | None = None) -> DataFrame:
+                      compat: bool = False, dtokens: DataFrame | None = None,
+                      dfreq: DataFrame | None = None) -> DataFrame:
     """(pkeys..., doc_key) for every passage contained in a document.
 
     Default drops blank passages (Q28); ``compat`` keeps them, and a blank passage
-    is contained in every document.
+    is contained in every document.  ``dtokens`` (doc, token) and ``dfreq``
+    (token, df) can be passed in from a BM25 index of the same documents.
     """
     p = passages.select(*pkey_cols, F.col(ptext).alias("ptext"))
     if not compat:
@@ -48,7 +50,8 @@ def containment_pairs(passages: DataFrame, pkey_cols: list[str], docs: DataFrame
     interior = long_p.select(
         *pkey_cols,
         F.explode(F.array_distinct(F.slice(tokens("ptext"), 2, F.col("ntok") - 2))).alias("token"))
-    df = dt.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = (dfreq.select("token", "df") if dfreq is not None
+          else dt.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     interior_small, interior_is_small = broadcast_if_small(interior, CANDIDATE_BROADCAST_ROWS, persist=True)
     rated = df.join(interior_small, "token", "right").select(
         *pkey_cols, "token", F.coalesce(F.col("df"), F.lit(0)).alias("df"))

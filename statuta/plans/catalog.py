@@ -307,9 +307,9 @@ def q_bm25_choice_vote(spark, sf_dir):
     return choice_vote(preds, benchmark(spark, sf_dir).select("item_id"))
 
 
-def passage_pairs(spark, sf_dir, dtokens=None) -> DataFrame:
-    return C.containment_pairs(benchmark(spark, sf_dir), ["item_id"],
-                               documents(spark, sf_dir), "doc_id", dtokens=dtokens)
+def passage_pairs(spark, sf_dir, idx: bm25.Bm25Index | None = None) -> DataFrame:
+    return C.containment_pairs(benchmark(spark, sf_dir), ["item_id"], documents(spark, sf_dir), "doc_id",
+                               dtokens=idx.tf if idx else None, dfreq=idx.vocab if idx else None)
 
 
 @register("passage_containment")
@@ -348,7 +348,7 @@ def judged_predictions(spark, sf_dir) -> DataFrame:
         F.lit("tf").alias("kind"), "item_id", F.col("doc_id").alias("pred"))
     mc = choice_vote(preds, items).select(
         F.lit("mc").alias("kind"), "item_id", F.col("doc_id").alias("pred"))
-    gold = passage_pairs(spark, sf_dir, dtokens=idx.tf).persist()
+    gold = passage_pairs(spark, sf_dir, idx).persist()
     return QA.judge(tf.unionByName(mc), gold, ["item_id"], "pred", "doc_id"), gold
 
 
