@@ -43,3 +43,13 @@ def test_filter_pushed_to_scan(spark):
     ev = table(spark, SF, "events").where(F.col("event_type") == "view").select("user_id")
     p = plan(ev)
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,view)]" in p
+
+
+def test_python_only_in_the_shred(spark):
+    from statuta.plans.catalog import REGISTRY
+
+    python_nodes = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas")
+    for name in ("bm25_top1", "passage_containment", "articles_all", "retrieval_accuracy", "strip_tags_plain"):
+        p = plan(REGISTRY[name](spark, SF))
+        assert not any(n in p for n in python_nodes), name
+    assert "MapInPandas" in plan(REGISTRY["element_counts"](spark, SF))
