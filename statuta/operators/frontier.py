@@ -1,7 +1,8 @@
 """Frontier rounds over a link graph (ST4, SET2, SET3).
 
 Round r+1 = targets of the round-r frontier, made distinct, minus every node
-already visited; the loop stops when a round is empty (the original crashes on
+already visited (the frontier is broadcast after a size check, so the edge table
+streams through without a shuffle and a hub node causes no skew); the loop stops when a round is empty (the original crashes on
 an empty frontier instead).  Each round is appended to a parquet table in the
 shared checkpoint folder, which cuts the lineage and survives executor loss; the
 next round reads its frontier back from that table.
@@ -16,7 +17,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.session import scratch_path
+from statuta.session import broadcast_if_small, scratch_path
+
+FRONTIER_BROADCAST_ROWS = 5_000_000
 
 
 def bfs_rounds(spark: SparkSession, edges: DataFrame, seeds: DataFrame,
@@ -24,16 +27,17 @@ def bfs_rounds(spark: SparkSession, edges: DataFrame, seeds: DataFrame,
                path: str | None = None) -> DataFrame:
     """edges(src, dst), seeds(node) -> (node, round)."""
     path = path or scratch_path(spark, "frontier")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = (edges.select("src", "dst").distinct()
-         .repartition(n_parts, "src").persist(StorageLevel.MEMORY_AND_DISK))
+    # the edge table is never partitioned by node: a hub node would sit in one
+    # partition every round; instead the (usually small) frontier is broadcast
+    e = edges.select("src", "dst").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     seeds.select("node").distinct().withColumn("round", F.lit(0)).write.mode("overwrite").parquet(path)
     r = 0
     while max_rounds is None or r < max_rounds:
         visited = spark.read.parquet(path)
         frontier = visited.where(F.col("round") == r).select(F.col("node").alias("src"))
+        frontier, _ = broadcast_if_small(frontier, FRONTIER_BROADCAST_ROWS)
         known = visited.where(F.col("round") >= r - 1) if symmetric else visited
-        nxt = (frontier.join(e, "src").select(F.col("dst").alias("node")).distinct()
+        nxt = (e.join(frontier, "src").select(F.col("dst").alias("node")).distinct()
                .join(known.select("node"), "node", "left_anti"))
         r += 1
         nxt.withColumn("round", F.lit(r)).write.mode("append").parquet(path)
