@@ -21,7 +21,6 @@ with an id -- its text content as a serialising parser would print it
 """
 from __future__ import annotations
 
-import html as _html
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
