@@ -21,15 +21,21 @@ with an id -- its text content as a serialising parser would print it
 """
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from statuta.session import spread
 
+# The shred runs in Python workers; ship this module's code with each task so
+# workers need only pandas and the standard library, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ELEMENT_SCHEMA = StructType([
     StructField("page_id", LongType()),
     StructField("seq", IntegerType()),
