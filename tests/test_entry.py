@@ -51,3 +51,24 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
 def test_runs(spark, name):
     assert E.queries()[name](spark, SF).count() >= 0
+
+
+def test_python_workers_outside_the_repo(tmp_path):
+    """The shred runs in Python workers; it must work when the driver process is
+    started outside the repository (workers then cannot import the package)."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.ui.showConsoleProgress', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', E.queries()['element_counts'](spark, %r).count())\n" % (repo, SF))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
