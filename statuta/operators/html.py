@@ -117,16 +117,30 @@ def paragraphs(el: DataFrame, clean=T.strip_tags_flat, fallback: bool = True) ->
                      " ").alias("content"))
 
 
-def appendix_tables(el: DataFrame, first: int = 2) -> DataFrame:
-    """XT7 + TX16: tables from the third on as JSON rows x cells (cells cleaned with TX1)."""
-    tables = container_tables(el, containers(el))
+def appendix_tables(el: DataFrame, pages: DataFrame, first: int = 2) -> DataFrame:
+    """XT7 + TX16: tables from the third on as JSON rows x cells (cells cleaned with
+    TX1); ``[]`` for a document with two tables.  (page_id, appendix,
+    n_appendix_tables, status) for every page; fewer than two tables is
+    quarantined, as the original fails on it."""
+    cont = containers(el)
+    tables = container_tables(el, cont)
     nested = nested_tables(table_cells(el, tables.where(F.col("table_no") >= first)), T.strip_tags)
     full = tables.where(F.col("table_no") >= first).join(nested, ["page_id", "table_no"], "left")
-    return full.groupBy("page_id").agg(
+    app = full.groupBy("page_id").agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(
             F.col("table_no").alias("o"), F.coalesce(F.col("rows"), F.array().cast("array<array<string>>"))
-            .alias("v")))), lambda s: s["v"])).alias("appendix"),
-        F.count(F.lit(1)).cast("bigint").alias("n_appendix_tables"))
+            .alias("v")))), lambda s: s["v"])).alias("appendix"))
+    nt = tables.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_tables"))
+    out = (pages.select("page_id").join(cont.select("page_id", "c_seq"), "page_id", "left")
+           .join(nt, "page_id", "left").join(app, "page_id", "left"))
+    n = F.coalesce(F.col("n_tables"), F.lit(0))
+    status = (F.when(F.col("c_seq").isNull(), "no_container")
+              .when(n < 2, "few_tables").otherwise("ok"))
+    return out.select(
+        "page_id",
+        F.when(status == "ok", F.coalesce(F.col("appendix"), F.lit("[]"))).alias("appendix"),
+        F.greatest(n - first, F.lit(0)).cast("bigint").alias("n_appendix_tables"),
+        status.alias("status"))
 
 
 def content_and_appendix(el: DataFrame, pages: DataFrame, compat: bool = False) -> DataFrame:

@@ -661,7 +661,8 @@ def q_doc_header_fields(spark, sf_dir):
 
 @register("doc_tables")
 def q_doc_tables(spark, sf_dir):
-    return H.appendix_tables(shredded(spark, sf_dir))
+    pages = all_pages(spark, sf_dir)
+    return H.appendix_tables(shredded(spark, sf_dir, pages), pages)
 
 
 @register("doc_content_appendix")

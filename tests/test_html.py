@@ -34,7 +34,9 @@ def test_paragraphs_and_fallback(spark):
 def test_tables_and_appendix(spark):
     p = pages(spark)
     el = shred(p)
-    assert json.loads(by_page(H.appendix_tables(el))[-101].appendix) == [[["1", "2"]]]
+    app = by_page(H.appendix_tables(el, p))
+    assert json.loads(app[-101].appendix) == [[["1", "2"]]] and app[-101].n_appendix_tables == 1
+    assert app[-102].appendix == "[]" and app[-103].status == "few_tables"
     ca = by_page(H.content_and_appendix(el, p))[-101]
     assert json.loads(ca.appendix) == [{"text": "phụ lục", "table": [["1", "2"]]}, {"text": "hết", "table": []}]
     assert ca.content == "Điều 1. A Điều 2. B"
