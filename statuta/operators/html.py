@@ -100,9 +100,12 @@ def header_fields(el: DataFrame, pages: DataFrame) -> DataFrame:
                       status.alias("status"))
 
 
-def paragraphs(el: DataFrame, clean=T.strip_tags_flat, fallback: bool = True) -> DataFrame:
+def paragraphs(el: DataFrame, clean=T.strip_tags_flat, fallback: bool = True,
+               pages: DataFrame | None = None) -> DataFrame:
     """XT4 + XT5: <p> children of the container, or (fallback) one level deeper when
-    a page has none; cleaned and joined by one space.  (page_id, level, content)."""
+    a page has none; cleaned and joined by one space.  (page_id, level, content);
+    with ``pages`` every page gets a row (empty content, NULL level, when it has
+    no such paragraph)."""
     p = el.where(F.col("tag") == "p")
     lvl = (F.when(F.col("path").rlike(DOC_CONTAINER + r"/p[^/]*$"), 1)
            .when(F.col("path").rlike(DOC_CONTAINER + r"/div[^/]*/p[^/]*$"), 2))
@@ -111,10 +114,14 @@ def paragraphs(el: DataFrame, clean=T.strip_tags_flat, fallback: bool = True) ->
         p = p.where(F.col("level") == 1)
     p = p.withColumn("n1", F.count_if(F.col("level") == 1).over(Window.partitionBy("page_id")))
     p = p.where((F.col("level") == 1) | (F.col("n1") == 0))
-    return p.groupBy("page_id").agg(
+    out = p.groupBy("page_id").agg(
         F.min("level").alias("level"),
         _sorted_join(F.collect_list(F.struct(F.col("seq").alias("o"), clean(F.col("text")).alias("v"))),
                      " ").alias("content"))
+    if pages is None:
+        return out
+    return pages.select("page_id").join(out, "page_id", "left").select(
+        "page_id", "level", F.coalesce(F.col("content"), F.lit("")).alias("content"))
 
 
 def appendix_tables(el: DataFrame, pages: DataFrame, first: int = 2) -> DataFrame:

@@ -673,7 +673,8 @@ def q_doc_content_appendix(spark, sf_dir):
 
 @register("doc_paragraph_fallback")
 def q_doc_paragraph_fallback(spark, sf_dir):
-    p = H.paragraphs(shredded(spark, sf_dir))
+    pages = all_pages(spark, sf_dir)
+    p = H.paragraphs(shredded(spark, sf_dir, pages), pages=pages)
     return p.select("page_id", F.col("level").cast("bigint").alias("level"), "content")
 
 

@@ -26,9 +26,11 @@ def test_header_fields(spark):
 
 
 def test_paragraphs_and_fallback(spark):
-    got = by_page(H.paragraphs(shred(pages(spark))))
+    p = pages(spark)
+    got = by_page(H.paragraphs(shred(p), pages=p))
     assert got[-101].content == "Điều 1. A Điều 2. B" and got[-101].level == 1
     assert got[-102].level == 2 and got[-102].content.startswith("Điều 1. Sâu")
+    assert got[-104].content == "" and got[-104].level is None
 
 
 def test_tables_and_appendix(spark):
