@@ -20,3 +20,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statuta.llm.quality_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.simhash_covering import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.line_templates import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_dropped")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
