@@ -59,3 +59,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.knn_quality import knn_quality
+
+    scored = knn_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
