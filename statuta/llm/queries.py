@@ -86,3 +86,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return conversation_digests(format_turns(turns.select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts"))))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and web pages together; a page's doc_id is -1 - page_id."""
+    from statuta.llm.language_id import document_evidence, identify, page_evidence
+
+    docs = document_evidence(table(spark, sf_dir, "documents")).withColumn("page_id", F.lit(None).cast("long"))
+    pages = page_evidence(table(spark, sf_dir, "pages")).withColumn("doc_id", -1 - F.col("page_id"))
+    return identify(docs.unionByName(pages), ["doc_id", "page_id"])
