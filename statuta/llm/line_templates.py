@@ -80,14 +80,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with recurring lines cut from the text, and ``n_lines_dropped``."""
-    drops = dropped_lines(docs, id_col, text_col).groupBy("doc_id", "version").agg(
-        F.collect_set("line_no").alias("_drop")).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    lines = F.split(text_col, "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+    drops = dropped_lines(docs, id_col, text_col).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("drop"))
+    # the row travels as one struct, so that no column of ``docs`` meets one of ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"),
+                       F.xxhash64(text_col).alias("version"))
+    joined = rows.join(drops, ["doc_id", "version"], "left")
+    lines = F.split(F.col("row")[text_col], "\n")
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
     cut = F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")
-    joined = docs.withColumn("_v", F.xxhash64(text_col)).join(
-        drops, (F.col(id_col) == F.col("_id")) & (F.col("_v") == F.col("_version")), "left")
     return joined.select(
-        *[F.when(F.col("_drop").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c)
-          for c in docs.columns],
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_lines_dropped"))
+        *[F.when(F.col("drop").isNull(), F.col("row")[c]).otherwise(cut).alias(c) if c == text_col
+          else F.col("row")[c].alias(c) for c in docs.columns],
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_lines_dropped"))

@@ -53,7 +53,7 @@ LENGTH_PRIOR = 50
 STEPS = 200
 
 FOREIGN = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + "！-～]")
-IN_WORD = re.compile(r"[^\W\d_][0134578@$!|]+(?=[^\W_])|(?<![^\W_])[0134578@$!|]+(?=[^\W\d_]{2})")
+IN_WORD = re.compile(r"[^\W\d_][0134578@$!|]+(?=[^\W_])|(?<![^\W_])[0134578@$!|]+(?=[^\W\d_])")
 BREAKS = re.compile(r"[\W\d_]+")
 
 
