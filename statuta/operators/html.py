@@ -49,17 +49,18 @@ def container_tables(el: DataFrame, cont: DataFrame) -> DataFrame:
 
 def table_cells(el: DataFrame, tables: DataFrame) -> DataFrame:
     """(page_id, table_no, row_no, cell_no, text) for td cells of the given tables.
-    A row belongs to its nearest enclosing table, a cell to its nearest row."""
-    tr = el.where(F.col("tag") == "tr").select("page_id", F.col("table_seq").alias("t_seq"),
+    A table has all rows inside it and a row all cells inside it, so those of a nested
+    table also belong to the outer one."""
+    tr = el.where(F.col("tag") == "tr").select("page_id", F.explode("table_seqs").alias("t_seq"),
                                                F.col("seq").alias("r_seq"))
     tr = tr.join(tables.select("page_id", "t_seq", "table_no"), ["page_id", "t_seq"])
     tr = tr.withColumn("row_no", F.row_number().over(
         Window.partitionBy("page_id", "t_seq").orderBy("r_seq")) - 1)
-    td = el.where(F.col("tag") == "td").select("page_id", F.col("tr_seq").alias("r_seq"),
+    td = el.where(F.col("tag") == "td").select("page_id", F.explode("tr_seqs").alias("r_seq"),
                                                F.col("seq").alias("d_seq"), "text")
     td = td.join(tr, ["page_id", "r_seq"])
     td = td.withColumn("cell_no", F.row_number().over(
-        Window.partitionBy("page_id", "r_seq").orderBy("d_seq")) - 1)
+        Window.partitionBy("page_id", "t_seq", "r_seq").orderBy("d_seq")) - 1)
     return td.select("page_id", "table_no", "row_no", "cell_no", "text")
 
 

@@ -14,13 +14,14 @@ element is ignored.
 
 Per element: pre-order ``seq``, ``parent``, ``depth``, ``last`` (seq of its last
 descendant), ``path`` (``tag#id.class`` steps from the root), ``href``, the
-nearest enclosing ``table``/``tr`` (``table_seq``/``tr_seq``), character offsets
+the enclosing tables of a ``tr`` and rows of a ``td`` (``table_seqs``/``tr_seqs``), character offsets
 ``start``/``end`` of its outer HTML, and -- for text-bearing tags and elements
 with an id -- its text content as a serialising parser would print it
 (entities resolved, then ``& < >`` escaped).
 """
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -28,7 +29,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from statuta.session import spread
 
@@ -47,8 +48,8 @@ ELEMENT_SCHEMA = StructType([
     StructField("cls", StringType()),
     StructField("path", StringType()),
     StructField("href", StringType()),
-    StructField("table_seq", IntegerType()),
-    StructField("tr_seq", IntegerType()),
+    StructField("table_seqs", ArrayType(IntegerType())),
+    StructField("tr_seqs", ArrayType(IntegerType())),
     StructField("start", IntegerType()),
     StructField("end", IntegerType()),
     StructField("text", StringType()),
@@ -71,14 +72,17 @@ def _escape_text(s: str) -> str:
     return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
+def _escape_step(name: str) -> str:
+    """An id or class with the characters that separate path steps written as %xx."""
+    return re.sub(r"[%/.#]", lambda m: f"%{ord(m.group()):02X}", name)
+
+
 class _Shredder(HTMLParser):
     def __init__(self, src: str):
         super().__init__(convert_charrefs=True)
         self.src = src
         self.line_starts = [0]
-        for i, ch in enumerate(src):
-            if ch == "\n":
-                self.line_starts.append(i + 1)
+        self.line_starts += [m.end() for m in re.finditer("\n", src)]
         self.rows: list[list] = []
         self.stack: list[int] = []          # indexes into rows
         self.collect: dict[int, list[str]] = {}
@@ -123,22 +127,18 @@ class _Shredder(HTMLParser):
             self._close_until("tr", at)
         a = dict(attrs)
         el_id, cls = a.get("id"), a.get("class")
-        step = tag + (f"#{el_id}" if el_id else "") + ("." + ".".join(cls.split()) if cls else "")
+        step = tag + (f"#{_escape_step(el_id)}" if el_id else "") + (
+            "." + ".".join(map(_escape_step, cls.split())) if cls else "")
         parent = self.stack[-1] if self.stack else None
         ppath = self.rows[parent][8] if parent is not None else ""
-        table_seq = tr_seq = None
-        for i in reversed(self.stack):
-            t = self.rows[i][5]
-            if tr_seq is None and t == "tr":
-                tr_seq = i
-            if t == "table":
-                table_seq = i
-                break
+        # a table's rows and a row's cells are all those inside it, nested ones too
+        tables = [i for i in self.stack if self.rows[i][5] == "table"] if tag == "tr" else None
+        trs = [i for i in self.stack if self.rows[i][5] == "tr"] if tag == "td" else None
         seq = len(self.rows)
         raw = self.get_starttag_text() or ""
         row = [None, seq, parent, len(self.stack), seq, tag, el_id, cls,
                f"{ppath}/{step}" if ppath else step, a.get("href") if tag == "a" else None,
-               table_seq, tr_seq, at, at + len(raw), None]
+               tables, trs, at, at + len(raw), None]
         self.rows.append(row)
         if tag in VOID:
             return
@@ -189,17 +189,23 @@ def shred_html(page_id: int, src: str | None) -> list[list]:
     return rows
 
 
+#: Pages whose elements are held at a time.
+PAGES_PER_FRAME = 200
+
+
 def shred_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = [f.name for f in ELEMENT_SCHEMA.fields]
     for pdf in batches:
-        out: list[list] = []
-        for pid, src in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
-            out.extend(shred_html(int(pid), src))
-        frame = pd.DataFrame(out, columns=cols)
-        for c in ("seq", "parent", "depth", "last", "table_seq", "tr_seq", "start", "end"):
-            frame[c] = frame[c].astype("Int32")
-        frame["page_id"] = frame["page_id"].astype("Int64")
-        yield frame
+        for at in range(0, len(pdf), PAGES_PER_FRAME):
+            some = pdf.iloc[at:at + PAGES_PER_FRAME]
+            out: list[list] = []
+            for pid, src in zip(some["page_id"].tolist(), some["html"].tolist()):
+                out.extend(shred_html(int(pid), src))
+            frame = pd.DataFrame(out, columns=cols)
+            for c in ("seq", "parent", "depth", "last", "start", "end"):
+                frame[c] = frame[c].astype("Int32")
+            frame["page_id"] = frame["page_id"].astype("Int64")
+            yield frame
 
 
 def shred(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -22,7 +22,7 @@ from statuta.operators import qa as QA
 from statuta.operators import store as S
 from statuta.operators.shred import shred
 from statuta.plans import jobs as J
-from statuta.plans.probes import page_probe_frame
+from statuta.plans import pagesets as PS
 from statuta.plans.probes import probe_frame
 from statuta.session import broadcast_if_small
 from statuta.session import scratch_path
@@ -588,17 +588,28 @@ def q_quarantine_split(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# Page links and paragraphs (regex form over the landed pages)
+# Page links and paragraphs (on the shredded relation of the landed pages)
 # ---------------------------------------------------------------------------
-HREF = r'<a href="([^"]*)"'
 LINK_BASE = "https://legal.example/page/"
 
 
+def landed_pages(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id"])
+
+
+def page_hrefs(spark, sf_dir) -> DataFrame:
+    """Links of every page in document order, and whether they stand inside a ``nav``."""
+    from pyspark.sql import Window
+
+    a = shred(landed_pages(spark, sf_dir)).where((F.col("tag") == "a") & F.col("href").isNotNull())
+    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("seq")) - 1
+    return a.select("page_id", pos.cast("bigint").alias("pos"), "href",
+                    F.col("path").rlike(r"(^|/)nav([#.][^/]*)?/").alias("in_nav"))
+
+
 @register("page_links")
 def q_page_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(HREF), 1))
-                        .alias("pos", "href")).withColumn("pos", F.col("pos").cast("bigint"))
+    return page_hrefs(spark, sf_dir).select("page_id", "pos", "href")
 
 
 @register("page_links_absolute")
@@ -610,89 +621,91 @@ def q_page_links_absolute(spark, sf_dir):
 
 @register("page_links_union")
 def q_page_links_union(spark, sf_dir):
-    """XT9 + SET1 + AGG12: links of the navigation block followed by the links of
-    the rest of the page (duplicates kept), then made distinct."""
-    pages = table(spark, sf_dir, "pages")
-    nav = F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1)
-    rest = F.substring_index("html", "</nav>", -1)
-    b0 = pages.select(F.explode(F.regexp_extract_all(nav, F.lit(HREF), 1)).alias("href"))
-    b1 = pages.select(F.explode(F.regexp_extract_all(rest, F.lit(HREF), 1)).alias("href"))
-    return b0.unionAll(b1).distinct()
+    """XT9 + SET1 + AGG12: the links of all navigation blocks followed by those of the
+    rest of the page (duplicates kept), then made distinct."""
+    from pyspark import StorageLevel
+
+    a = page_hrefs(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return a.where("in_nav").select("href").unionAll(a.where("NOT in_nav").select("href")).distinct()
 
 
 @register("paragraphs_merged")
 def q_paragraphs_merged(spark, sf_dir):
-    """XT5 (regex form): each <p>...</p> stripped of tags, joined by one space."""
-    pages = table(spark, sf_dir, "pages")
-    paras = F.regexp_extract_all("html", F.lit(r"(?d)<p>(.*?)</p>"), 1)
-    return pages.select("page_id", F.array_join(F.transform(paras, lambda p: T.strip_tags(p)), " ")
-                        .alias("content"),
-                        F.size(paras).cast("bigint").alias("n_paragraphs"))
+    """XT5: text of each paragraph of a page, joined by one space."""
+    p = shred(landed_pages(spark, sf_dir)).where(F.col("tag") == "p")
+    per_page = p.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
+    return table(spark, sf_dir, "pages").select("page_id").join(per_page, "page_id", "left").select(
+        "page_id", F.coalesce(F.array_join(F.transform("p", lambda x: T.strip_tags(x["text"])), " "), F.lit(""))
+        .alias("content"), F.coalesce(F.size("p"), F.lit(0)).cast("bigint").alias("n_paragraphs"))
 
 
 # ---------------------------------------------------------------------------
-# HTML: shred + extraction (landed pages plus the probe pages of each layout)
+# HTML: extraction over the landed pages and pages composed in each layout
 # ---------------------------------------------------------------------------
 
 
-def all_pages(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), ["page_id"]).unionByName(page_probe_frame(spark))
+def with_landed(spark, sf_dir, composed: DataFrame) -> DataFrame:
+    return landed_pages(spark, sf_dir).unionByName(composed)
+
+
+def document_pages(spark, sf_dir) -> DataFrame:
+    return with_landed(spark, sf_dir, PS.document_pages(spark, sf_dir))
 
 
-def shredded(spark, sf_dir, pages: DataFrame | None = None) -> DataFrame:
+def shredded(pages: DataFrame) -> DataFrame:
     from pyspark import StorageLevel
 
-    pages = pages if pages is not None else all_pages(spark, sf_dir)
     return shred(pages).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @register("element_counts")
 def q_element_counts(spark, sf_dir):
     """XT0: start tags per page and tag, counted on the shredded relation."""
-    el = shred(table(spark, sf_dir, "pages"))
+    el = shred(landed_pages(spark, sf_dir))
     return el.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("doc_header_fields")
 def q_doc_header_fields(spark, sf_dir):
-    pages = all_pages(spark, sf_dir)
-    return H.header_fields(shredded(spark, sf_dir, pages), pages)
+    pages = document_pages(spark, sf_dir)
+    return H.header_fields(shredded(pages), pages)
 
 
 @register("doc_tables")
 def q_doc_tables(spark, sf_dir):
-    pages = all_pages(spark, sf_dir)
-    return H.appendix_tables(shredded(spark, sf_dir, pages), pages)
+    pages = document_pages(spark, sf_dir)
+    return H.appendix_tables(shredded(pages), pages)
 
 
 @register("doc_content_appendix")
 def q_doc_content_appendix(spark, sf_dir):
-    pages = all_pages(spark, sf_dir)
-    return H.content_and_appendix(shredded(spark, sf_dir, pages), pages)
+    pages = document_pages(spark, sf_dir)
+    return H.content_and_appendix(shredded(pages), pages)
 
 
 @register("doc_paragraph_fallback")
 def q_doc_paragraph_fallback(spark, sf_dir):
-    pages = all_pages(spark, sf_dir)
-    p = H.paragraphs(shredded(spark, sf_dir, pages), pages=pages)
+    pages = document_pages(spark, sf_dir)
+    p = H.paragraphs(shredded(pages), pages=pages)
     return p.select("page_id", F.col("level").cast("bigint").alias("level"), "content")
 
 
 @register("main_text")
 def q_main_text(spark, sf_dir):
-    pages = all_pages(spark, sf_dir)
-    return H.main_text(shredded(spark, sf_dir, pages), pages)
+    pages = with_landed(spark, sf_dir, PS.statute_pages(spark, sf_dir))
+    return H.main_text(shredded(pages), pages)
 
 
 @register("document_links")
 def q_document_links(spark, sf_dir):
-    return H.document_links(shredded(spark, sf_dir)).select(
+    return H.document_links(shredded(with_landed(spark, sf_dir, PS.result_pages(spark, sf_dir)))).select(
         "page_id", F.col("block").cast("bigint").alias("block"), "href")
 
 
 @register("pager_links")
 def q_pager_links(spark, sf_dir):
-    return H.pager_links(shredded(spark, sf_dir), LINK_BASE).select("page_id", "url")
+    pages = with_landed(spark, sf_dir, PS.result_pages(spark, sf_dir))
+    return H.pager_links(shred(pages), LINK_BASE).select("page_id", "url")
 
 
 # ---------------------------------------------------------------------------
@@ -801,7 +814,7 @@ def q_eval_json(spark, sf_dir):
 def q_statute_text(spark, sf_dir):
     """DS5 + SNK1 + SRC2: statute pages -> cleaned text files -> lines -> articles."""
     base = scratch_path(spark, "statute_text")
-    J.statute_text(all_pages(spark, sf_dir), out_dir=f"{base}/text")
+    J.statute_text(with_landed(spark, sf_dir, PS.statute_pages(spark, sf_dir)), out_dir=f"{base}/text")
     return A.segment_articles(FS.read_statute_text(spark, f"{base}/text"))
 
 
@@ -809,7 +822,7 @@ def q_statute_text(spark, sf_dir):
 def q_pages_to_documents(spark, sf_dir):
     """DS6: store the documents linked from result pages; a second run adds nothing."""
     base = scratch_path(spark, "doc_store")
-    pages = all_pages(spark, sf_dir)
+    pages = document_pages(spark, sf_dir).unionByName(PS.result_pages(spark, sf_dir))
     J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
     J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
     return spark.read.parquet(f"{base}/store")

@@ -1,6 +1,7 @@
 """DuckDB SQL equal to each catalogue query (tables are pre-registered views)."""
 from __future__ import annotations
 
+from statuta.plans import pagesets
 from statuta.plans.probes import probe_sql
 
 # Whitespace class of Python's str.split()/strip(), valid in RE2.
@@ -357,21 +358,20 @@ SQL["quarantine_split"] = f"""WITH l AS (SELECT doc_id, CAST(generate_subscripts
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM {DIRTY_INPUT}))
 SELECT doc_id, line_no, string_split(line, ' ')[1] AS token, TRY_CAST(string_split(line, ' ')[1] AS BIGINT) AS value,
   CASE WHEN TRY_CAST(string_split(line, ' ')[1] AS BIGINT) IS NULL THEN 'quarantine' ELSE 'ok' END AS status FROM l"""
-HREF_RE = '<a href="([^"]*)"'
+# the text between an opening <p> or <a> and its end, for any attributes and line breaks
+HREF_RE = '<a\\s(?:[^>]*?\\s)?href="([^"]*)"'
 SQL["page_links"] = f"""SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS BIGINT) AS pos, unnest(h) AS href
 FROM (SELECT page_id, regexp_extract_all(html, '{HREF_RE}', 1) AS h FROM pages)"""
 SQL["page_links_absolute"] = f"""SELECT page_id, CAST(generate_subscripts(h, 1) - 1 AS BIGINT) AS pos,
   'https://legal.example/page/' || unnest(h) AS url
 FROM (SELECT page_id, regexp_extract_all(html, '{HREF_RE}', 1) AS h FROM pages)"""
-SQL["page_links_union"] = f"""SELECT DISTINCT href FROM (
-  SELECT unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '{HREF_RE}', 1)) AS href FROM pages
-  UNION ALL
-  SELECT unnest(regexp_extract_all(CASE WHEN contains(html, '</nav>') THEN split_part(html, '</nav>', -1) ELSE html END,
-                '{HREF_RE}', 1)) FROM pages)"""
-SQL["paragraphs_merged"] = """SELECT page_id,
-  array_to_string(list_transform(regexp_extract_all(html, '<p>(.*?)</p>', 1),
-                                 lambda p: regexp_replace(p, '<.*?>', '', 'g')), ' ') AS content,
-  CAST(len(regexp_extract_all(html, '<p>(.*?)</p>', 1)) AS BIGINT) AS n_paragraphs FROM pages"""
+SQL["page_links_union"] = f"""SELECT DISTINCT unnest(regexp_extract_all(html, '{HREF_RE}', 1)) AS href FROM pages"""
+
+# a paragraph runs from its start tag to its end, the next paragraph or the next block
+P_END = '(?s)(</p>|<(?:article|aside|div|footer|h[1-6]|header|li|main|nav|ol|pre|section|table|ul)[\\s>]|</(?:article|body|div|section|main)>).*'
+SQL["paragraphs_merged"] = f"""SELECT page_id, array_to_string(p, ' ') AS content, CAST(len(p) AS BIGINT) AS n_paragraphs
+FROM (SELECT page_id, list_transform(string_split_regex(html, '<p(?:\\s[^>]*)?>')[2:],
+        lambda x: replace(regexp_replace(regexp_replace(x, '{P_END}', ''), '<.*?>', '', 'g'), '&quot;', '"')) AS p FROM pages)"""
 
 # --- HTML ------------------------------------------------------------------
 SQL["element_counts"] = """SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (
@@ -380,3 +380,8 @@ GROUP BY page_id, lower(tag)"""
 
 SQL["stream_insert_if_absent"] = SQL["insert_if_absent_text"]
 SQL["stream_resume"] = SQL["insert_if_absent_text"]
+
+# --- pages composed from the tables: expectations come from the source rows ------
+SQL |= pagesets.oracles("https://legal.example/page/", "legal-portal", *(
+    x.replace("FROM lineitem", "FROM (SELECT * REPLACE (l_suppkey AS l_orderkey) FROM lineitem)")
+    for x in (segment_sql(False), LINEITEM_STATUTE_LINES)))

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 TEXT_PROBES = [
     (-1, '<p\n class="x">A\t"b"</p>\r\n<i>c\\d</i> <> it\'s <table><tr><td>1</td></tr>'
          '</table> <table w="1"><tr><td>2</td></tr></table>'),
-    (-2, '<p align="center"><span style="font-size:10pt">Số: </span>'
-         '<span style="font-size:10pt">12/QĐ-UB</span></p>'),
+    (-2, '<ul><li value="4">Mục <u>bốn</u>: xem <a href="/b">bảng<br/>hai</a></li>\n<li>hết</li></ul>'),
     (-3, "a  b \n \n  c\n\n\nd "),
     (-4, " a b\t c　d \x0be\x1cf "),
     (-5, '<div class="x">one\ntwo</div> keep <div>plain</div> <div id="y">z</div> '),
