@@ -27,14 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions.text import tokens
-from statuta.session import broadcast_if_small, spread
+from statuta.session import broadcast_if_small
 
 # Fixed values of the ranking function.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
-# Scores are compared after rounding to this many decimals so that float sums in
-# different orders (or engines) rank ties the same way.
+# Contributions are added as whole multiples of 1 / SCORE_UNITS, so that sums do not depend
+# on their order and equal documents tie exactly; scores are rounded for output only.
+SCORE_UNITS = 1e12
 SCORE_DECIMALS = 6
 
 QUERY_BROADCAST_ROWS = 2_000_000
@@ -45,19 +46,20 @@ class Bm25Index:
     key_cols: list[str]
     tf: DataFrame        # key_cols..., token, tf, dl
     vocab: DataFrame     # token, df, idf
+    vocab_raw: DataFrame  # the persisted frame that ``vocab`` reads
     stats: DataFrame     # one row: n_docs, total_len, avgdl, n_terms, mean_idf, eps
     first_key: DataFrame  # one row: key_cols of the first document
 
     def unpersist(self) -> None:
         self.tf.unpersist()
-        self.vocab.unpersist()
+        self.vocab_raw.unpersist()
 
 
 def term_frequencies(corpus: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
     """(keys, token, tf, dl, first_pos) -- one row per distinct token of a document."""
     # The length is computed before the generator so each exploded row carries an
     # int, not the token array (carrying the array makes the copy quadratic).
-    exploded = (spread(corpus, key_cols)
+    exploded = (corpus
                 .select(*key_cols, tokens(text_col).alias("toks"))
                 .withColumn("dl", F.size("toks"))
                 .select(*key_cols, "dl", F.posexplode("toks").alias("tpos", "token")))
@@ -93,7 +95,7 @@ def build_index(corpus: DataFrame, key_cols: list[str], text_col: str = "text",
         eps.alias("eps"),
     )
     first_key = docs.select(F.min(F.struct(*key_cols)).alias("k")).select("k.*")
-    return Bm25Index(list(key_cols), tf, vocab, stats, first_key)
+    return Bm25Index(list(key_cols), tf, vocab, vocab_raw, stats, first_key)
 
 
 def query_terms(queries: DataFrame, qkey_cols: list[str], text_col: str = "text") -> DataFrame:
@@ -118,7 +120,7 @@ def scores(index: Bm25Index, queries: DataFrame, qkey_cols: list[str],
     contrib = F.col("w") * tf * (K1 + 1) / norm
     return (index.tf.join(weighted_small, "token")
             .groupBy(*qkey_cols, *index.key_cols)
-            .agg(F.sum(contrib).alias("score")))
+            .agg((F.sum(F.round(contrib * SCORE_UNITS).cast("bigint")) / SCORE_UNITS).alias("score")))
 
 
 def rounded(score: Column) -> Column:
@@ -134,13 +136,13 @@ def top1(index: Bm25Index, queries: DataFrame, qkey_cols: list[str],
     exact while the epsilon floor is not negative).
     """
     keys = index.key_cols
-    s = scores(index, queries, qkey_cols, text_col).withColumn("score", rounded(F.col("score")))
+    s = scores(index, queries, qkey_cols, text_col)
     best = (s.where(F.col("score") > 0)
             .groupBy(*qkey_cols)
             .agg(F.min_by(F.struct(*keys, "score"),
                           F.struct(-F.col("score"), *keys)).alias("best"))
             .select(*qkey_cols, *[F.col(f"best.{k}").alias(k) for k in keys],
-                    F.col("best.score").alias("score")))
+                    rounded(F.col("best.score")).alias("score")))
     allq = queries.select(*qkey_cols)
     out = allq.join(best, qkey_cols, "left")
     if compat:
@@ -161,11 +163,11 @@ def topk(index: Bm25Index, queries: DataFrame, qkey_cols: list[str], k: int,
     from pyspark.sql import Window
 
     keys = index.key_cols
-    s = scores(index, queries, qkey_cols, text_col).withColumn("score", rounded(F.col("score")))
+    s = scores(index, queries, qkey_cols, text_col)
     w = Window.partitionBy(*qkey_cols).orderBy(F.col("score").desc(), *[F.col(c) for c in keys])
     return (s.where(F.col("score") > 0)
             .withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .where(F.col("rank") <= k))
+            .where(F.col("rank") <= k).withColumn("score", rounded(F.col("score"))))
 
 
 def write_index(index: Bm25Index, path: str) -> None:
@@ -174,7 +176,8 @@ def write_index(index: Bm25Index, path: str) -> None:
     ``tf`` is written clustered by token so a reader that filters on query tokens
     reads few row groups; ``vocab`` and ``stats`` are small companions.
     """
-    (index.tf.repartition("token").sortWithinPartitions("token")
+    # range partitions split a token that every document holds by its document keys
+    (index.tf.repartitionByRange("token", *index.key_cols).sortWithinPartitions("token")
      .write.mode("overwrite").parquet(f"{path}/tf"))
     index.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
@@ -186,5 +189,6 @@ def write_index(index: Bm25Index, path: str) -> None:
 def read_index(spark, path: str) -> Bm25Index:
     """Open an index written by ``write_index``; nothing is recomputed."""
     keys = spark.read.parquet(f"{path}/keys").first()["keys"].split(",")
-    return Bm25Index(keys, spark.read.parquet(f"{path}/tf"), spark.read.parquet(f"{path}/vocab"),
+    vocab = spark.read.parquet(f"{path}/vocab")
+    return Bm25Index(keys, spark.read.parquet(f"{path}/tf"), vocab, vocab,
                      spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/first_key"))

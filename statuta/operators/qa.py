@@ -47,11 +47,12 @@ def judge(preds: DataFrame, gold_pairs: DataFrame, qkey_cols: list[str],
     """JN6: attach ``n_gold``, ``correct`` and ``any_match`` to predictions.
 
     Right iff exactly one gold label equal to the prediction (Q8); any-match iff
-    the prediction is one of the gold labels.  Gold lists are never collected:
+    the prediction is one of the gold labels.  A label that is given twice counts twice,
+    and one without a key (unknown law) counts but matches nothing.  Gold lists are never collected:
     the count is an aggregate and membership is an equi-join on (question, label).
     """
     stats = gold_pairs.groupBy(*qkey_cols).agg(F.count(F.lit(1)).alias("n_gold"))
-    hit = gold_pairs.select(*qkey_cols, F.col(gold_col).alias(pred_col), F.lit(1).alias("hit"))
+    hit = gold_pairs.select(*qkey_cols, F.col(gold_col).alias(pred_col)).distinct().withColumn("hit", F.lit(1))
     j = preds.join(stats, qkey_cols, "left").join(hit, [*qkey_cols, pred_col], "left")
     return (j.withColumn("n_gold", F.coalesce(F.col("n_gold"), F.lit(0)).cast("bigint"))
             .withColumn("correct", F.when((F.col("n_gold") == 1) & (F.col("hit") == 1), 1.0).otherwise(0.0))

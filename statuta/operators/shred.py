@@ -31,7 +31,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from statuta.session import spread
 
 # The shred runs in Python workers; ship this module's code with each task so
 # workers need only pandas and the standard library, not this package on their path.
@@ -211,4 +210,4 @@ def shred_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def shred(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """pages(page_id, html) -> element relation (ELEMENT_SCHEMA)."""
     src = pages.select(pages[id_col].cast("bigint").alias("page_id"), pages[html_col].alias("html"))
-    return spread(src, ["page_id"]).mapInPandas(shred_batches, ELEMENT_SCHEMA)
+    return src.mapInPandas(shred_batches, ELEMENT_SCHEMA)

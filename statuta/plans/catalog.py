@@ -371,15 +371,17 @@ def q_retrieval_accuracy_by_source(spark, sf_dir):
 
 @register("training_set")
 def q_training_set(spark, sf_dir):
-    """DS1 + JN2: one row per (question, gold article) with the article text size
-    and its labels; questions without a gold article keep one row with NULLs."""
+    """DS1 + JN2: one row per (question, gold article) with type, choices, answer, the
+    article's text and its labels; questions without a gold article keep one row with NULLs."""
     gold = passage_pairs(spark, sf_dir)
-    docs = documents(spark, sf_dir).select("doc_id", "n_chars")
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("article"))
     labels = table(spark, sf_dir, "labels")
     arts = gold.join(docs, "doc_id").join(labels, "doc_id", "left")
-    return benchmark(spark, sf_dir).select("item_id", F.col("text").alias("quest")).join(
+    kind = F.when(F.col("D").isNotNull(), T.MULTIPLE_CHOICE_TYPE).otherwise("Đúng/Sai")
+    return benchmark_questions(spark, sf_dir).select(
+        "item_id", kind.alias("question_type"), "quest", *QA.CHOICE_LETTERS, F.col("A").alias("answer")).join(
         arts, "item_id", "left").select(
-        "item_id", "quest", "doc_id", "n_chars",
+        "item_id", "question_type", "quest", *QA.CHOICE_LETTERS, "answer", "doc_id", "article",
         F.col("quality").cast("bigint").alias("quality"),
         F.col("toxic").cast("bigint").alias("toxic"))
 
@@ -397,11 +399,12 @@ def two_batches(df: DataFrame, batch_col: F.Column) -> tuple[DataFrame, DataFram
 @register("insert_if_absent_text")
 def q_insert_if_absent_text(spark, sf_dir):
     """MUT1/SNK2: documents arrive in two batches (English first); a text already
-    stored is not stored again; first by doc_id wins inside a batch."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "n_chars")
+    stored is not stored again; first by doc_id wins inside a batch.  Texts are keyed by
+    their digest, so they are not shuffled."""
+    docs = documents(spark, sf_dir).select("doc_id", S.key_digest(["text"]).alias("text_key"), "lang", "n_chars")
     b1, b2 = two_batches(docs, F.when(F.col("lang") == "en", 1).otherwise(2))
-    sink = S.first_per_key(b1, ["text"], ["doc_id"])
-    final = S.insert_if_absent(sink, b2, ["text"], ["doc_id"])
+    sink = S.first_per_key(b1, ["text_key"], ["doc_id"])
+    final = S.insert_if_absent(sink, b2, ["text_key"], ["doc_id"])
     return final.select("doc_id", "batch", "lang", "n_chars")
 
 
@@ -726,7 +729,7 @@ def q_stream_insert_if_absent(spark, sf_dir):
     ST.land(b1, f"{base}/landing")
     ST.land(b2, f"{base}/landing")
     ST.insert_if_absent_stream(spark, f"{base}/landing", b1.schema, f"{base}/sink",
-                               f"{base}/checkpoint", ["text"], ["doc_id"])
+                               f"{base}/checkpoint", ["text"], ["batch", "doc_id"])
     return spark.read.parquet(f"{base}/sink").select("doc_id", "batch", "lang", "n_chars")
 
 
@@ -738,11 +741,11 @@ def q_stream_resume(spark, sf_dir):
     b1, b2 = _doc_batches(spark, sf_dir)
     args = (b1.schema, f"{base}/sink")
     ST.land(b1, f"{base}/landing")
-    ST.insert_if_absent_stream(spark, f"{base}/landing", *args, f"{base}/checkpoint", ["text"], ["doc_id"])
+    ST.insert_if_absent_stream(spark, f"{base}/landing", *args, f"{base}/checkpoint", ["text"], ["batch", "doc_id"])
     ST.land(b2, f"{base}/landing")
-    ST.insert_if_absent_stream(spark, f"{base}/landing", *args, f"{base}/checkpoint", ["text"], ["doc_id"])
+    ST.insert_if_absent_stream(spark, f"{base}/landing", *args, f"{base}/checkpoint", ["text"], ["batch", "doc_id"])
     ST.land(b2, f"{base}/replay")
-    ST.insert_if_absent_stream(spark, f"{base}/replay", *args, f"{base}/checkpoint2", ["text"], ["doc_id"])
+    ST.insert_if_absent_stream(spark, f"{base}/replay", *args, f"{base}/checkpoint2", ["text"], ["batch", "doc_id"])
     return spark.read.parquet(f"{base}/sink").select("doc_id", "batch", "lang", "n_chars")
 
 
@@ -762,8 +765,18 @@ def _statute_files(spark, sf_dir, base) -> DataFrame:
 
 
 def _lineitem_questions(spark, sf_dir) -> DataFrame:
+    """A question per line; its words, and each choice's, are dated lines of articles."""
     li = table(spark, sf_dir, "lineitem")
     n = F.col("l_linenumber").cast("string")
+    day = F.col("l_shipdate").cast("date")
+
+    def dated(days: int):
+        # tokens split on spaces only, so "status\ndate" is a token of the article text
+        return F.concat(F.col("l_linestatus"), F.lit("\n"), F.date_add(day, days).cast("string"))
+
+    def choice(days: int):
+        return F.concat(F.lit("là "), dated(days))
+
     return li.select(
         F.col("l_returnflag").alias("part"),
         F.lit(None).cast("string").alias("STT"),
@@ -771,11 +784,9 @@ def _lineitem_questions(spark, sf_dir) -> DataFrame:
         F.concat(F.col("l_orderkey").cast("string"), F.lit(". LUẬT")).alias("law"),
         F.when(F.col("l_returnflag") == "A", F.concat(n, F.lit(".0"))).otherwise(n).alias("art"),
         F.lit(None).cast("string").alias("art_cont"),
-        # tokens split on spaces only, so "status\ndate" is a token of the article text
-        F.concat(F.col("l_linestatus"), F.lit("\n"), F.col("l_shipdate").cast("date").cast("string")).alias("quest"),
+        F.concat(dated(0), F.lit(" ?")).alias("quest"),
         F.lit(None).cast("string").alias("anws"),
-        F.col("l_returnflag").alias("A"), F.col("l_linestatus").alias("B"),
-        F.col("l_quantity").cast("string").alias("C"), F.lit(None).cast("string").alias("D"),
+        choice(1).alias("A"), choice(0).alias("B"), choice(2).alias("C"), F.lit(None).cast("string").alias("D"),
         F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("comment"))
 
 
@@ -785,10 +796,11 @@ def q_eval_csv(spark, sf_dir):
     base = scratch_path(spark, "eval_csv")
     lines = _statute_files(spark, sf_dir, base)
     q = _lineitem_questions(spark, sf_dir)
-    (q.repartition("part").write.mode("overwrite").partitionBy("part")
+    (q.write.mode("overwrite").partitionBy("part")
      .option("header", True).csv(f"{base}/questions"))
-    return J.eval_csv(spark, lines, f"{base}/questions").select(
-        F.regexp_extract("file", r"part=([^/]+)/", 1).alias("part"), "n", "accuracy", "any_match")
+    # a folder's files are one question set
+    part = F.regexp_extract("file", r"part=([^/]+)/", 1)
+    return J.eval_csv(spark, lines, f"{base}/questions", part).withColumnRenamed("file", "part")
 
 
 @register("eval_json")
@@ -797,17 +809,23 @@ def q_eval_json(spark, sf_dir):
     base = scratch_path(spark, "eval_json")
     lines = _statute_files(spark, sf_dir, base)
     q = _lineitem_questions(spark, sf_dir)
+    # line 6 repeats its label, line 5 adds one of an unknown law: neither can be right
+    own = F.struct(T.whole_float_to_int("art").alias("article_id"),
+                   F.concat(F.lit("luật  "), F.split_part("law", F.lit("."), F.lit(1))).alias("law_id"))
+    no = T.whole_float_to_int("art")
+    more = F.when(no == "6", F.array(own)).when(no == "5", F.array(F.struct(
+        F.lit("1").alias("article_id"), F.lit("luật nào").alias("law_id")))).otherwise(F.array().cast(
+            "array<struct<article_id:string,law_id:string>>"))
     js = q.select(
-        F.concat_ws("-", F.col("law"), F.col("art"), F.col("quest"), F.col("C")).alias("quest_id"),
+        F.concat_ws("-", F.split_part("law", F.lit("."), F.lit(1)), no, F.col("quest")).alias("quest_id"),
         F.col("format").alias("question_type"), F.col("quest").alias("text"),
-        F.array(F.struct(T.whole_float_to_int("art").alias("article_id"),
-                         F.concat(F.lit("luật  "), F.split_part("law", F.lit("."), F.lit(1))).alias("law_id")))
-        .alias("relevant_articles"),
+        F.concat(F.array(own), more).alias("relevant_articles"), F.lit("B").alias("answer"),
         F.struct(*[F.col(c) for c in QA.CHOICE_LETTERS]).alias("choices")).dropDuplicates(["quest_id"])
     js.write.mode("overwrite").json(f"{base}/questions")
     names = lines.where(F.col("line_no") == 0).select(
         "law_id", F.col("raw").alias("name"), F.lower("raw").alias("name_key"))
-    return J.eval_json(spark, lines, f"{base}/questions", names=names, multiline=False)
+    return J.eval_json(spark, lines, f"{base}/questions", names=names, multiline=False,
+                       unknown_path=f"{base}/unknown").drop("all")
 
 
 @register("statute_text")
@@ -825,4 +843,4 @@ def q_pages_to_documents(spark, sf_dir):
     pages = document_pages(spark, sf_dir).unionByName(PS.result_pages(spark, sf_dir))
     J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
     J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
-    return spark.read.parquet(f"{base}/store")
+    return spark.read.parquet(f"{base}/store").select(*J.DOC_STORE_SCHEMA.names)

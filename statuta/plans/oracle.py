@@ -94,8 +94,8 @@ def bm25_ctes(corpus_sql: str, keys: list[str], queries_sql: str, qkeys: list[st
     qt AS (SELECT {qk}, token, count(*) AS qtf
            FROM (SELECT {qk}, unnest(string_split(text, ' ')) AS token FROM ({queries_sql})) GROUP BY ALL),
     sc AS (SELECT {qqk}, {tk},
-                  round(sum(q.qtf * v.idf * t.tf * (1.5 + 1)
-                            / (t.tf + 1.5 * (1 - 0.75 + 0.75 * t.dl / (SELECT avgdl FROM n)))), 6) AS score
+                  sum(CAST(round(q.qtf * v.idf * t.tf * (1.5 + 1)
+                      / (t.tf + 1.5 * (1 - 0.75 + 0.75 * t.dl / (SELECT avgdl FROM n))) * 1e12) AS BIGINT)) / 1e12 AS score
            FROM qt q JOIN vocab v USING (token) JOIN tf t USING (token) GROUP BY ALL)
     """
 
@@ -116,7 +116,7 @@ SQL["bm25_top1"] = f"""WITH {_BM25_DOCS},
 best AS (SELECT item_id, doc_id, score,
                 row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn
          FROM sc WHERE score > 0)
-SELECT b.item_id, x.doc_id, x.score FROM benchmark b LEFT JOIN (SELECT * FROM best WHERE rn = 1) x USING (item_id)"""
+SELECT b.item_id, x.doc_id, round(x.score, 6) AS score FROM benchmark b LEFT JOIN (SELECT * FROM best WHERE rn = 1) x USING (item_id)"""
 
 SENTENCES_SQL = """SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS line_no, unnest(l) AS text
 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
@@ -125,7 +125,7 @@ SQL["bm25_top15"] = f"""WITH {_BM25_SENT},
 ranked AS (SELECT item_id, doc_id, line_no, score,
                   row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line_no) AS rank
            FROM sc WHERE score > 0)
-SELECT item_id, rank, doc_id, line_no, score FROM ranked WHERE rank <= 15"""
+SELECT item_id, rank, doc_id, line_no, round(score, 6) AS score FROM ranked WHERE rank <= 15"""
 
 # --- statute segmentation ---------------------------------------------------
 
@@ -290,13 +290,41 @@ SQL["retrieval_accuracy_by_source"] = f"""WITH {BQ}, {_BM25_FORMS}, {VOTE}, {JUD
 src AS (SELECT g.item_id, d.source FROM (SELECT item_id, min(doc_id) AS gold_doc FROM pairs GROUP BY item_id) g
         JOIN documents d ON d.doc_id = g.gold_doc)
 SELECT s.source, {ACC} FROM judged j LEFT JOIN src s USING (item_id) GROUP BY s.source"""
-SQL["training_set"] = f"""WITH {PAIRS}
-SELECT b.item_id, b.text AS quest, a.doc_id, a.n_chars, CAST(a.quality AS BIGINT) AS quality,
-       CAST(a.toxic AS BIGINT) AS toxic
-FROM benchmark b LEFT JOIN (
-  SELECT p.item_id, p.doc_id, d.n_chars, l.quality, l.toxic FROM pairs p JOIN documents d USING (doc_id)
+SQL["training_set"] = f"""WITH {BQ}, {PAIRS}
+SELECT b.item_id, CASE WHEN b.D IS NOT NULL THEN 'Trắc nghiệm' ELSE 'Đúng/Sai' END AS question_type, b.quest,
+       b.A, b.B, b.C, b.D, b.A AS answer, a.doc_id, a.article,
+       CAST(a.quality AS BIGINT) AS quality, CAST(a.toxic AS BIGINT) AS toxic
+FROM bq b LEFT JOIN (
+  SELECT p.item_id, p.doc_id, d.text AS article, l.quality, l.toxic FROM pairs p JOIN documents d USING (doc_id)
   LEFT JOIN labels l USING (doc_id)) a USING (item_id)"""
 
+
+def evaluation_sql(source: str, group: str) -> str:
+    """Accuracy of lineitem questions (qid, grp, kind, quest, A, B, C, gold, n_gold) per group."""
+    forms = """SELECT qid, CAST(0 AS BIGINT) AS choice_no, quest AS text FROM q WHERE kind = 'tf' UNION ALL
+      SELECT qid, unnest([1, 2, 3]) AS choice_no, quest || chr(10) || unnest([A, B, C]) AS text FROM q WHERE kind = 'mc'"""
+    ranked = bm25_ctes("SELECT law_id, pos, content AS text FROM art", ["law_id", "pos"], forms, ["qid", "choice_no"])
+    return f"""WITH art AS ({segment_sql(False)}), q AS ({source}), {ranked},
+best AS (SELECT qid, choice_no, law_id, pos FROM (SELECT *, row_number() OVER (
+           PARTITION BY qid, choice_no ORDER BY score DESC, law_id, pos) AS rn FROM sc WHERE score > 0) WHERE rn = 1),
+named AS (SELECT b.qid, b.choice_no, a.key FROM best b JOIN art a USING (law_id, pos)),
+tally AS (SELECT qid, key, count(*) AS votes, min(choice_no) AS first FROM named GROUP BY ALL),
+win AS (SELECT qid, key FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, first) AS rn
+        FROM tally) WHERE rn = 1),
+judged AS (SELECT q.grp, CASE WHEN w.key = q.gold THEN 1.0 ELSE 0.0 END AS any_match,
+             CASE WHEN w.key = q.gold AND q.n_gold = 1 THEN 1.0 ELSE 0.0 END AS correct FROM q LEFT JOIN win w USING (qid))
+SELECT {group}{ACC} FROM judged GROUP BY grp"""
+
+
+_DATED = "l_linestatus || chr(10) || CAST(CAST(l_shipdate AS DATE) + {} AS VARCHAR)"
+_QUESTION = f"""CASE WHEN l_linestatus = 'O' THEN 'mc' ELSE 'tf' END AS kind, {_DATED.format(0)} || ' ?' AS quest,
+  'là ' || {_DATED.format(1)} AS A, 'là ' || {_DATED.format(0)} AS B, 'là ' || {_DATED.format(2)} AS C,
+  l_orderkey || '-' || l_linenumber AS gold"""
+SQL["eval_csv"] = evaluation_sql(
+    f"SELECT row_number() OVER () AS qid, l_returnflag AS grp, {_QUESTION}, 1 AS n_gold FROM lineitem", "grp AS part, ")
+SQL["eval_json"] = evaluation_sql(f"""SELECT row_number() OVER () AS qid, * FROM (SELECT DISTINCT 'all' AS grp, {_QUESTION},
+  CASE WHEN l_linenumber IN (5, 6) THEN 2 ELSE 1 END AS n_gold FROM lineitem)""", "")
+
 # --- store, bookmarks, frontier, lookups ------------------------------------
 
 SQL["insert_if_absent_text"] = """WITH d AS (SELECT doc_id, text, lang, n_chars,
@@ -321,10 +349,11 @@ SQL["bookmark_cleared"] = f"""SELECT user_id, CASE WHEN arg_max(event_type, (ts,
 FRONTIER = """WITH RECURSIVE e AS (
   SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem
   UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
-seed AS (SELECT 's' || min(l_suppkey) AS node FROM lineitem),
-walk(node, d) AS (SELECT node, 0 FROM seed
-                  UNION SELECT e.dst, w.d + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.d < 24),
-rounds AS (SELECT node, CAST(min(d) AS BIGINT) AS round FROM walk GROUP BY node)"""
+walk(node, d) USING KEY (node) AS (
+  SELECT 's' || min(l_suppkey) AS node, 0 AS d FROM lineitem
+  UNION (SELECT e.dst, min(w.d) + 1 FROM walk w JOIN e ON e.src = w.node
+         WHERE e.dst NOT IN (SELECT node FROM recurring.walk) GROUP BY e.dst)),
+rounds AS (SELECT node, CAST(d AS BIGINT) AS round FROM walk)"""
 SQL["frontier_round"] = f"{FRONTIER} SELECT node, round FROM rounds"
 SQL["frontier_reach"] = f"{FRONTIER} SELECT round, count(*) AS n_new FROM rounds GROUP BY round"
 SQL["law_lookup"] = """WITH dim AS (SELECT lower(n_name) AS name_key, CAST(n_nationkey + 1 AS BIGINT) AS law_id FROM nation),

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (tests, local
-    runs) a folder under the warehouse directory is chosen and registered.
+    Uses the cluster's ``spark.checkpoint.dir``.  Only a local session may go without:
+    it gets a folder under the warehouse directory.  On a cluster that folder could be
+    the driver's own disk, so an unset folder is an error there.
     """
     try:
         sc = spark.sparkContext
@@ -40,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     configured = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
         configured = warehouse.rstrip("/") + "/_statuta_checkpoints"
     if sc is None:
@@ -57,32 +60,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Largest estimated size of a frame that is broadcast by hint.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Estimated bytes of a row: 16, and per column 8, and what its text takes."""
+    size = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif f.dataType.typeName() in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0))
+    return size
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int, persist: bool = False) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
+    """Broadcast ``df`` only after checking its rows and bytes.
 
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the frame is
-    returned unchanged and Spark plans a shuffle join (AQE may still convert it).
-    ``persist`` keeps the checked frame so the join does not compute it again.
+    The check is one aggregation, with a partial sum per task.  Beyond ``max_rows`` or
+    ``MAX_BROADCAST_BYTES`` the frame is returned unchanged and Spark plans a shuffle join
+    (AQE may still convert it); the result is the same.  ``persist`` keeps the checked
+    frame so the join does not compute it again.
     """
     if persist:
         from pyspark import StorageLevel
 
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    if rows <= max_rows and size <= MAX_BROADCAST_BYTES:
         return F.broadcast(df), True
     return df, False
 
 
-def spread(df: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Hash-partition by ``key_cols`` only when the scan yields fewer partitions
-    than task slots (e.g. one large single-row-group file).  A many-file input
-    keeps its scan partitioning and is not shuffled."""
+def spread(scan: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Hash-partition a table scan by ``key_cols`` when it has fewer files than the cluster
+    has task slots (e.g. one large single-row-group file).  A many-file input keeps its scan
+    partitioning and is not shuffled.  The files are listed from the plan; no job runs.
+    Apply it where a table is read, not to derived frames."""
+    session = scan.sparkSession
     try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): keep the scan as is
-        return df
-    if n < target:
-        return df.repartition(target, *key_cols)
-    return df
+        slots = session.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's slots are not known here
+        return scan
+    return scan.repartition(slots, *key_cols) if len(scan.inputFiles()) < slots else scan

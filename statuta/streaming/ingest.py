@@ -9,7 +9,9 @@ the batch-level insert-if-absent of ``store.py``:
 * a replayed micro-batch (crash between sink write and commit) appends nothing,
   because its keys are already stored -- the sink stays exactly-once;
 * no unbounded dedup state: the sink itself is the state, probed with an anti
-  join, instead of ``dropDuplicates`` without a watermark.
+  join by key digest in the partitions that a batch touches, instead of
+  ``dropDuplicates`` without a watermark;
+* a micro-batch takes many files, so ``order_cols`` must tell which row came first.
 """
 from __future__ import annotations
 
@@ -20,18 +22,16 @@ from statuta.operators import store as S
 
 
 def land(df: DataFrame, landing_dir: str) -> None:
-    """Land one batch of rows as a new file in the landing folder (tests, replays)."""
-    df.coalesce(1).write.mode("append").parquet(landing_dir)
+    """Land one batch of rows as new files in the landing folder (tests, replays)."""
+    df.write.mode("append").parquet(landing_dir)
 
 
 def insert_if_absent_stream(spark: SparkSession, landing_dir: str, schema: StructType,
                             sink_path: str, checkpoint: str, key_cols: list[str],
                             order_cols: list[str], available_now: bool = True,
-                            processing_time: str | None = None, files_per_trigger: int = 1):
+                            processing_time: str | None = None, files_per_trigger: int = 1000):
     """Start the ingest query; with ``available_now`` it processes what has landed and
     stops (returns after termination), otherwise it runs on ``processing_time``."""
-    S.ensure_table(spark, sink_path, schema)
-
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         S.append_if_absent(batch.sparkSession, sink_path, batch, key_cols, order_cols)
 

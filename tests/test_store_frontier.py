@@ -10,9 +10,9 @@ def test_insert_if_absent_batches(spark, scratch):
     path = f"{scratch}/sink"
     b1 = spark.createDataFrame([("k1", "v1", 1), ("k1", "v2", 2), ("k2", "v3", 3)], SCHEMA)
     b2 = spark.createDataFrame([("k2", "v4", 4), ("k3", "v5", 5)], SCHEMA)
-    assert store.append_if_absent(spark, path, b1, ["k"], ["o"]) == 2
-    assert store.append_if_absent(spark, path, b2, ["k"], ["o"]) == 1
-    assert store.append_if_absent(spark, path, b2, ["k"], ["o"]) == 0  # replay
+    assert store.append_if_absent(spark, path, b1, ["k"], ["o"]).count() == 2
+    assert store.append_if_absent(spark, path, b2, ["k"], ["o"]).count() == 1
+    assert store.append_if_absent(spark, path, b2, ["k"], ["o"]).count() == 0  # replay
     got = sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect())
     assert got == [("k1", "v1"), ("k2", "v3"), ("k3", "v5")]
 
