@@ -647,8 +647,14 @@ def q_paragraphs_merged(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-def with_landed(spark, sf_dir, composed: DataFrame) -> DataFrame:
-    return landed_pages(spark, sf_dir).unionByName(composed)
+def with_landed(spark, sf_dir, *composed: DataFrame) -> DataFrame:
+    """The given pages and composed ones, landed as one table in the shared folder."""
+    pages = landed_pages(spark, sf_dir)
+    for more in composed:
+        pages = pages.unionByName(more)
+    path = scratch_path(spark, "landed-pages")
+    pages.write.parquet(path)
+    return spark.read.schema(pages.schema).parquet(path)
 
 
 def document_pages(spark, sf_dir) -> DataFrame:
@@ -840,7 +846,27 @@ def q_statute_text(spark, sf_dir):
 def q_pages_to_documents(spark, sf_dir):
     """DS6: store the documents linked from result pages; a second run adds nothing."""
     base = scratch_path(spark, "doc_store")
-    pages = document_pages(spark, sf_dir).unionByName(PS.result_pages(spark, sf_dir))
+    pages = with_landed(spark, sf_dir, PS.document_pages(spark, sf_dir), PS.result_pages(spark, sf_dir))
     J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
     J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
     return spark.read.parquet(f"{base}/store").select(*J.DOC_STORE_SCHEMA.names)
+
+
+@register("documents_with_appendix")
+def q_documents_with_appendix(spark, sf_dir):
+    """The document store with appendix, keyed by document number; a second run adds nothing."""
+    base = scratch_path(spark, "doc_appendix")
+    pages = document_pages(spark, sf_dir)
+    J.documents_with_appendix(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
+    J.documents_with_appendix(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
+    return spark.read.parquet(f"{base}/store").select(*J.DOC_APPENDIX_SCHEMA.names)
+
+
+@register("crawl_rounds")
+def q_crawl_rounds(spark, sf_dir):
+    """ST4 + DS6: from the first result page over all pager links, storing documents."""
+    base = scratch_path(spark, "crawl")
+    pages = with_landed(spark, sf_dir, PS.document_pages(spark, sf_dir), PS.result_pages(spark, sf_dir, LINK_BASE))
+    seeds = spark.range(1).select(F.lit(f"{LINK_BASE}tim.aspx?page=0").alias("link"))
+    out = J.crawl(spark, pages, seeds, LINK_BASE, f"{base}/store", f"{base}/visited", DEFAULT_DOMAIN)
+    return out.select("link", F.col("round").cast("bigint").alias("round"), "n_links")

@@ -59,8 +59,9 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.expr("'vb/' || o_orderkey").alias("url"), F.expr(html).alias("html"))
 
 
-def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten orders per page, halves in two blocks; every ninth page has one block div only."""
+def result_pages(spark: SparkSession, sf_dir: str, base: str = "") -> DataFrame:
+    """Ten orders per page, halves in two blocks; every ninth page has one block div only.
+    The pager of page n leads to pages 10n + 1 to 10n + 10, some of which do not exist."""
     no = F.floor(F.col("o_orderkey") / ORDERS_PER_RESULT_PAGE).cast("bigint")
     link = "'<div class=\"nq\"><p class=\"nqTitle\"><a class=\"l\" href=\"vb/' || k || '\">' || k || '</a></p></div>'"
     groups = table(spark, sf_dir, "orders").groupBy(no.alias("no")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
@@ -71,8 +72,9 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     html = ("'<div id=\"block-info-advan\">' || CASE WHEN no % 9 = 0 THEN '' ELSE '<div>head</div>' END || '<div>' || "
             f"{block(0, 'x % 10 < 5')} || {block(1, 'x % 10 >= 5')} || '</div></div>"
-            "<div class=\"cmPager\"><a href=\"tim.aspx?page=' || (no + 1) || '\">next</a></div>'")
-    return groups.select((F.col("no") + RESULT_PAGES).alias("page_id"), F.expr("'tim.aspx?page=' || no").alias("url"),
+            "<div class=\"cmPager\">' || array_join(transform(sequence(1, 10), i -> '<a href=\"tim.aspx?page=' || "
+            "(10 * no + i) || '\">' || i || '</a>'), ' ') || '</div>'")
+    return groups.select((F.col("no") + RESULT_PAGES).alias("page_id"), F.concat(F.lit(f"{base}tim.aspx?page="), F.col("no").cast("string")).alias("url"),
                          F.expr(html).alias("html"))
 
 
@@ -139,8 +141,15 @@ UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL, NULL, 0, 'no_container'
     sql["document_links"] = f"""SELECT o_orderkey // 10 + {RESULT_PAGES} AS page_id,
   CAST(CASE WHEN o_orderkey % 10 < 5 THEN 0 ELSE 1 END AS BIGINT) AS block, 'vb/' || o_orderkey AS href
 FROM orders WHERE {linked}"""
-    sql["pager_links"] = f"""SELECT DISTINCT o_orderkey // 10 + {RESULT_PAGES} AS page_id,
-  '{link_base}tim.aspx?page=' || (o_orderkey // 10 + 1) AS url FROM orders"""
+    sql["pager_links"] = f"""SELECT no + {RESULT_PAGES} AS page_id, '{link_base}tim.aspx?page=' || (10 * no + i) AS url
+FROM (SELECT DISTINCT o_orderkey // 10 AS no FROM orders), range(1, 11) t(i)"""
+    # pages 0, 1 to 10, 11 to 110, ...: the round is the number of digits of 9 no + 9, less one
+    sql["crawl_rounds"] = f"""SELECT '{link_base}tim.aspx?page=' || no AS link,
+  CAST(length(CAST(9 * no + 9 AS VARCHAR)) - 1 AS BIGINT) AS round, CASE WHEN no % 9 = 0 THEN 0 ELSE n END AS n_links
+FROM (SELECT o_orderkey // 10 AS no, count(*) AS n FROM orders GROUP BY ALL)"""
+    sql["documents_with_appendix"] = f"""SELECT h.doc_id, h.org, h.date, h.receiver, h.signer, c.content, c.appendix,
+  '{domain}' AS domain FROM ({sql["doc_header_fields"]}) h JOIN ({sql["doc_content_appendix"]}) c USING (page_id)
+WHERE h.status = 'ok'"""
     sql["main_text"] = f"""WITH {statute_lines_sql} SELECT law_id + {STATUTE_PAGES} AS page_id,
   string_agg(trim(regexp_replace(raw, ' +', ' ', 'g')), chr(10) ORDER BY line_no) FILTER (raw <> '') || chr(10) AS text,
   'ok' AS status FROM lines GROUP BY law_id UNION ALL SELECT page_id, NULL, 'no_main_text' FROM pages"""
