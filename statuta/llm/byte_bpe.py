@@ -3,8 +3,9 @@
 Texts are cut into pre-tokens (words) and kept, block by block, as the block's distinct
 words and one code per position; that is the exploded (document, position, word) relation
 with its repeated words collapsed before any shuffle.  The words of all blocks then meet in
-one global shuffle by word: each distinct word is merged once, and its ids go back to the
-blocks that hold it, where they are laid out by position.  Decoding looks every id up in
+one global shuffle, dealt to buckets by hash and packed: each distinct word is merged once,
+and its ids go back to the blocks that hold it, where they are laid out by position.
+Decoding looks every id up in
 the token-byte table (fixed by the vocabulary, about 50,000 rows, broadcast) and joins the
 bytes in order.  A block holds at most ``BLOCK_CHARS`` characters (a longer text is a block
 of its own), so no task sees more than a block and its words, and a word that every
@@ -32,11 +33,11 @@ from statuta.llm.common import ship
 ship(__name__)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 #: Positions whose codes share one row; bounds a row's size inside a block.
 ROW_POSITIONS = 1 << 20
-#: A word's reference is its block and its code: 17 bits of blocks per partition, 26 of codes.
-SEQ_BITS, CODE_BITS = 17, 26
+#: Blocks of one partition are numbered with this many bits.
+SEQ_BITS = 20
 #: Words up to this many bytes are merged by scanning, longer ones with a heap.
 SCAN_BYTES = 48
 
@@ -143,55 +144,91 @@ def _to_blocks(pattern: str, block_chars: int):
     return run
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit integers, equal bytes side by side (most high bytes are zero), compressed."""
+    return zlib.compress(b"".join(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns), 1)
+
+
+def _unpack(packed: bytes, *sizes: int) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zlib.decompress(packed), dtype=np.uint8), [], 0
+    for n in sizes:
+        out.append(np.ascontiguousarray(raw[at:at + 4 * n].reshape(4, n).T).view("<u4").ravel())
+        at += 4 * n
+    return out
+
+
 def _frame(block, docs, codes, words) -> pd.DataFrame:
     """The rows of one block: pieces of documents with their codes, then its words in code order."""
-    all_codes, rows, at, start = np.frombuffer(codes, dtype=np.uint32), [], 0, 0
+    codes = np.frombuffer(codes, dtype=np.uint32)
+    # the frequent words of the block get the small codes, which take least room
+    order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), dtype=np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    codes, rows, at, start = rank[codes], [], 0, 0
     while at < len(docs):
         upto, n = at, 0
         while upto < len(docs) and (upto == at or n + docs[upto][1] <= ROW_POSITIONS):
             n += docs[upto][1]
             upto += 1
-        # equal bytes of the codes side by side: most high bytes are zero
-        planes = np.ascontiguousarray(all_codes[start:start + n]).view(np.uint8).reshape(-1, 4).T
         rows.append((block, [d[0] for d in docs[at:upto]], [d[1] for d in docs[at:upto]],
-                     zlib.compress(planes.tobytes(), 1), None))
+                     _pack(codes[start:start + n]), None))
         at, start = upto, start + n
-    encoded = [w.encode() for w in words]
-    lengths = np.array([len(w) for w in encoded], dtype=np.uint32).tobytes()
+    names = list(words)
+    encoded = [names[i].encode() for i in order]
+    lengths = np.array([len(w) for w in encoded], dtype="<u4").tobytes()
     rows.append((block, None, None, None, zlib.compress(lengths + b"".join(encoded), 1)))
     return pd.DataFrame(rows, columns=["block", "ids", "counts", "codes", "words"]).assign(
         n_words=[0] * (len(rows) - 1) + [len(encoded)])
 
 
-def _block_words(batches):
-    """Blocks -> (word, ref): each distinct word of a block once."""
-    for batch in batches:
-        for block, packed, n in zip(batch["block"], batch["words"], batch["n_words"]):
-            if packed is None or not n:
-                continue
-            raw = zlib.decompress(packed)
-            ends = np.cumsum(np.frombuffer(raw, dtype=np.uint32, count=n)).tolist()
-            text = raw[4 * n:]
-            first = int(block) << CODE_BITS
-            for at in range(0, n, 100_000):
-                some = ends[at:at + 100_000]
-                yield pd.DataFrame({"word": [text[a:b] for a, b in zip([ends[at - 1] if at else 0, *some], some)],
-                                    "ref": np.arange(first + at, first + at + len(some), dtype=np.int64)})
+def _block_words(n_buckets: int):
+    """Blocks -> their distinct words, a row per block and bucket of words, packed."""
+
+    def run(batches):
+        for batch in batches:
+            for block, packed, n in zip(batch["block"], batch["words"], batch["n_words"]):
+                if packed is None or not n:
+                    continue
+                raw = zlib.decompress(packed)
+                ends = np.cumsum(np.frombuffer(raw, dtype="<u4", count=n)).tolist()
+                text = raw[4 * n:]
+                words = [text[a:b] for a, b in zip([0, *ends], ends)]
+                bucket = np.array([zlib.crc32(w) % n_buckets for w in words])
+                order = np.argsort(bucket, kind="stable")
+                firsts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                rows = []
+                for a, b in zip(firsts, [*firsts[1:], n]):
+                    mine = order[a:b]
+                    some = [words[i] for i in mine]
+                    rows.append((bucket[mine[0]], block, b - a, _pack(np.diff(mine, prepend=0),
+                                                                      np.array([len(w) for w in some])),
+                                 zlib.compress(b"".join(some), 1)))
+                yield pd.DataFrame(rows, columns=["bucket", "block", "n", "codes", "words"])
+
+    return run
 
 
 def _encode_words(ranks):
-    """(word, ref) sorted by word -> (block, code, ids); a run of equal words is merged once."""
+    """Packed words sorted by bucket -> packed ids; each distinct word of a bucket is merged once."""
 
     def run(batches):
-        table, last, ids = ranks.value, None, b""
+        table, now, known = ranks.value, None, {}
         for batch in batches:
-            out = []
-            for word in batch["word"]:
-                if word != last:
-                    last, ids = word, np.array(merge_word(word, table), dtype="<u4").tobytes()
-                out.append(ids)
-            refs = batch["ref"].to_numpy()
-            yield pd.DataFrame({"block": refs >> CODE_BITS, "code": refs & ((1 << CODE_BITS) - 1), "ids": out})
+            rows = []
+            for bucket, block, n, codes, packed in zip(*(batch[c] for c in ("bucket", "block", "n", "codes", "words"))):
+                if bucket != now:
+                    now, known = bucket, {}
+                steps, lengths = _unpack(codes, n, n)
+                text, ends, ids = zlib.decompress(packed), np.cumsum(lengths).tolist(), []
+                for a, b in zip([0, *ends], ends):
+                    word = text[a:b]
+                    if (found := known.get(word)) is None:
+                        found = known[word] = np.array(merge_word(word, table), dtype="<u4").tobytes()
+                    ids.append(found)
+                flat = np.frombuffer(b"".join(ids), dtype="<u4")
+                sizes = np.array([len(x) // 4 for x in ids])
+                rows.append((block, n, len(flat), _pack(steps, sizes, flat)))
+            yield pd.DataFrame(rows, columns=["block", "n", "m", "packed"])
 
     return run
 
@@ -207,10 +244,16 @@ def _lay_out(ranks):
     """A block's codes and its words' ids -> ids and decoded bytes of each of its documents."""
 
     def run(_, pieces: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values("code")
-        word_lengths = words["ids"].str.len().to_numpy(dtype=np.int64) // 4
-        word_ids = np.frombuffer(b"".join(words["ids"]), dtype="<u4")
-        word_starts = np.cumsum(word_lengths) - word_lengths
+        parts = [_unpack(p, n, n, m) for p, n, m in zip(words["packed"], words["n"], words["m"])]
+        found = [np.cumsum(steps, dtype=np.int64) for steps, _, _ in parts]
+        n_words = sum(map(len, found))
+        # ids stay as they came; each code knows where its ids start
+        word_ids = np.concatenate([ids for *_, ids in parts]) if parts else np.empty(0, dtype="<u4")
+        sizes = np.concatenate([s for _, s, _ in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
+        word_lengths, word_starts = np.zeros(n_words, dtype=np.int64), np.zeros(n_words, dtype=np.int64)
+        if parts:
+            at = np.concatenate(found)
+            word_lengths[at], word_starts[at] = sizes, np.cumsum(sizes) - sizes
         tokens = [b""] * len(ranks.value)
         for token, rank in ranks.value.items():
             tokens[rank] = token
@@ -221,8 +264,7 @@ def _lay_out(ranks):
         for of, counts, packed in zip(pieces["ids"], pieces["counts"], pieces["codes"]):
             if packed is None:
                 continue
-            planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1)
-            codes = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+            codes = _unpack(packed, sum(counts))[0]
             at = 0
             for name, n in zip(of, counts):
                 mine = codes[at:at + n]
@@ -241,13 +283,15 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and decoded (bytes) of every row."""
     table = docs.sparkSession.sparkContext.broadcast(ranks or default_ranks())
+    # more buckets than partitions, so that a task holds the words of one of several at a time
+    n_buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange of the blocks feeds both the global word shuffle and the final layout
     blocks = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
               .mapInPandas(_to_blocks(pattern or default_pattern(), block_chars),
                            "block long, ids array<long>, counts array<int>, codes binary, words binary, n_words int")
               .repartition("block"))
-    words = (blocks.mapInPandas(_block_words, "word binary, ref long")
-             .repartition("word").sortWithinPartitions("word")
-             .mapInPandas(_encode_words(table), "block long, code int, ids binary"))
+    words = (blocks.mapInPandas(_block_words(n_buckets), "bucket long, block long, n int, codes binary, words binary")
+             .repartition("bucket").sortWithinPartitions("bucket")
+             .mapInPandas(_encode_words(table), "block long, n int, m int, packed binary"))
     return (blocks.groupBy("block").cogroup(words.groupBy("block"))
             .applyInPandas(_lay_out(table), "doc_id long, ids binary, decoded binary"))
