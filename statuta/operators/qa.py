@@ -60,9 +60,12 @@ def judge(preds: DataFrame, gold_pairs: DataFrame, qkey_cols: list[str],
             .drop("hit"))
 
 
-def accuracy(judged: DataFrame, group_cols: list[str]) -> DataFrame:
-    """AGG8: mean of ``correct`` and ``any_match``; every row is in the denominator."""
-    return judged.groupBy(*group_cols).agg(
+def accuracy(judged: DataFrame, group_cols: list[str], total: str | None = None) -> DataFrame:
+    """AGG8: mean of ``correct`` and ``any_match``; every row is in the denominator.
+    ``total`` adds a row over all groups under that name (one, never null, group column)."""
+    grouped = judged.rollup(*group_cols) if total else judged.groupBy(*group_cols)
+    out = grouped.agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("correct"), 6).alias("accuracy"),
         F.round(F.avg("any_match"), 6).alias("any_match"))
+    return out.fillna(total, group_cols) if total else out

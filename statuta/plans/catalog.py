@@ -303,7 +303,8 @@ def choice_vote(preds: DataFrame, items: DataFrame) -> DataFrame:
 @register("bm25_choice_vote")
 def q_bm25_choice_vote(spark, sf_dir):
     idx = doc_index(spark, sf_dir)
-    preds = form_predictions(spark, sf_dir, idx)
+    forms = all_forms(spark, sf_dir).where(F.col("choice_no") > 0)
+    preds = bm25.top1(idx, forms, ["item_id", "choice_no"])
     return choice_vote(preds, benchmark(spark, sf_dir).select("item_id"))
 
 
@@ -355,9 +356,8 @@ def judged_predictions(spark, sf_dir) -> DataFrame:
 @register("retrieval_accuracy")
 def q_retrieval_accuracy(spark, sf_dir):
     judged, _ = judged_predictions(spark, sf_dir)
-    by_kind = QA.accuracy(judged, ["kind"])
-    overall = QA.accuracy(judged.withColumn("kind", F.lit("all")), ["kind"])
-    return by_kind.unionByName(overall)
+    # one pass: the roll-up's total row is the row of all kinds
+    return QA.accuracy(judged, ["kind"], total="all")
 
 
 @register("retrieval_accuracy_by_source")
@@ -600,11 +600,11 @@ def landed_pages(spark, sf_dir) -> DataFrame:
     return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id"])
 
 
-def page_hrefs(spark, sf_dir) -> DataFrame:
+def page_hrefs(pages: DataFrame) -> DataFrame:
     """Links of every page in document order, and whether they stand inside a ``nav``."""
     from pyspark.sql import Window
 
-    a = shred(landed_pages(spark, sf_dir)).where((F.col("tag") == "a") & F.col("href").isNotNull())
+    a = shred(pages).where((F.col("tag") == "a") & F.col("href").isNotNull())
     pos = F.row_number().over(Window.partitionBy("page_id").orderBy("seq")) - 1
     return a.select("page_id", pos.cast("bigint").alias("pos"), "href",
                     F.col("path").rlike(r"(^|/)nav([#.][^/]*)?/").alias("in_nav"))
@@ -612,7 +612,7 @@ def page_hrefs(spark, sf_dir) -> DataFrame:
 
 @register("page_links")
 def q_page_links(spark, sf_dir):
-    return page_hrefs(spark, sf_dir).select("page_id", "pos", "href")
+    return page_hrefs(landed_pages(spark, sf_dir)).select("page_id", "pos", "href")
 
 
 @register("page_links_absolute")
@@ -628,20 +628,24 @@ def q_page_links_union(spark, sf_dir):
     rest of the page (duplicates kept), then made distinct."""
     from pyspark import StorageLevel
 
-    a = page_hrefs(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    a = page_hrefs(landed_pages(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
     return a.where("in_nav").select("href").unionAll(a.where("NOT in_nav").select("href")).distinct()
 
 
-@register("paragraphs_merged")
-def q_paragraphs_merged(spark, sf_dir):
-    """XT5: text of each paragraph of a page, joined by one space."""
-    p = shred(landed_pages(spark, sf_dir)).where(F.col("tag") == "p")
+def merged_paragraphs(pages: DataFrame) -> DataFrame:
+    p = shred(pages).where(F.col("tag") == "p")
     per_page = p.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
-    return table(spark, sf_dir, "pages").select("page_id").join(per_page, "page_id", "left").select(
+    return pages.select("page_id").join(per_page, "page_id", "left").select(
         "page_id", F.coalesce(F.array_join(F.transform("p", lambda x: T.strip_tags(x["text"])), " "), F.lit(""))
         .alias("content"), F.coalesce(F.size("p"), F.lit(0)).cast("bigint").alias("n_paragraphs"))
 
 
+@register("paragraphs_merged")
+def q_paragraphs_merged(spark, sf_dir):
+    """XT5: text of each paragraph of a page, joined by one space."""
+    return merged_paragraphs(landed_pages(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # HTML: extraction over the landed pages and pages composed in each layout
 # ---------------------------------------------------------------------------

@@ -66,3 +66,22 @@ def test_parser_repairs_tree():
     tags = [(r[5], r[2]) for r in rows]
     assert tags[:3] == [("p", None), ("p", None), ("div", None)]
     assert [r[14] for r in rows if r[5] == "li"] == ["x", "y"]
+
+
+def test_links_of_all_navigation_blocks_and_between(spark):
+    from statuta.plans.catalog import page_hrefs
+
+    html = ('<a href="a">1</a><nav class="x"><a title="t" href="b">2</a></nav><p><a href="c">3</a></p>'
+            '<nav><ul><li><a\nhref="d">4</a></li></ul></nav><a href="e">5</a>')
+    pages = spark.createDataFrame([(1, html)], "page_id bigint, html string")
+    got = [(r["pos"], r["href"], r["in_nav"]) for r in page_hrefs(pages).orderBy("pos").collect()]
+    assert got == [(0, "a", False), (1, "b", True), (2, "c", False), (3, "d", True), (4, "e", False)]
+
+
+def test_paragraphs_with_attributes_and_line_breaks(spark):
+    from statuta.plans.catalog import merged_paragraphs
+
+    rows = [(1, '<p class="a">x <b>y</b></p>\n<p\n id="q">one\ntwo</p><p>open<div>z</div>'), (2, "<div>none</div>")]
+    got = {r["page_id"]: (r["content"], r["n_paragraphs"])
+           for r in merged_paragraphs(spark.createDataFrame(rows, "page_id bigint, html string")).collect()}
+    assert got == {1: ("x y one\ntwo open", 3), 2: ("", 0)}

@@ -36,7 +36,40 @@ def test_containment_streams_documents(spark):
     docs = table(spark, SF, "documents")
     pairs = contain.containment_pairs(table(spark, SF, "benchmark"), ["item_id"], docs, "doc_id")
     p = plan(pairs)
-    assert "BroadcastHashJoin" in p and "CartesianProduct" not in p
+    assert "BroadcastHashJoin" in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_short_passages_need_no_nested_loop(spark):
+    docs = spark.createDataFrame([(1, "a bc d"), (2, "bcd e")], "doc_id bigint, text string")
+    short = spark.createDataFrame([(1, "bc"), (2, "c d"), (3, " ")], "pid bigint, text string")
+    p = plan(contain.containment_pairs(short, ["pid"], docs, "doc_id"))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_spread_runs_no_job(spark):
+    from statuta.session import spread
+
+    docs = table(spark, SF, "documents")
+    spark.sparkContext.setJobGroup("spread", "spread")
+    try:
+        assert "REPARTITION" in plan(spread(docs, ["doc_id"]))
+        bm25.term_frequencies(spread(docs, ["doc_id"]), ["doc_id"], "text")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_broadcast_needs_few_rows_and_bytes(spark):
+    from statuta import session
+
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "a bigint, b string")
+    assert session.broadcast_if_small(df, 50)[1] and not session.broadcast_if_small(df, 49)[1]
+    limit, session.MAX_BROADCAST_BYTES = session.MAX_BROADCAST_BYTES, 1000
+    try:
+        assert not session.broadcast_if_small(df, 50)[1]
+    finally:
+        session.MAX_BROADCAST_BYTES = limit
 
 
 def test_filter_pushed_to_scan(spark):
