@@ -15,7 +15,7 @@ cut.  Components come from distributed stars (``components``).
 
 Defined cases: null or blank text has fingerprint zero and links like any other; texts
 under ``shingle`` words are one shingle; repeated rows each get a row; a null doc_id is
-never a component's name unless its group has no other.
+never a component's name unless its group has no other, and ``keep_one`` drops such rows.
 """
 from __future__ import annotations
 
