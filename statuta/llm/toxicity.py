@@ -3,7 +3,8 @@
 Folding undoes homoglyphs, full-width letters and digit or sign substitutions inside
 words, and reads the look-alikes ``l``, and ``1``, ``!`` and ``|`` inside words, as ``i``.  Lexicon
 entries are words and word beginnings; their weights are log odds of training documents
-with and without the toxic label, counted over all labelled rows.  An entry needs a share
+with and without the toxic label, counted over a bounded sample of labelled rows (``SAMPLE``,
+those of smallest hash of doc_id).  An entry needs a share
 of the toxic documents, which bounds the lexicon.  Phrases around a match that clean
 documents use more than toxic ones are exceptions and cancel it, as do the fixed ones.  A
 document's weights are summed, one entry per word, and divided by its length; a logistic
@@ -42,6 +43,8 @@ FULL_WIDTH = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 SUBSTITUTES = str.maketrans("034578@$", "oeastbas")
 LOOK_ALIKES = str.maketrans("l1!|", "iiii")
 
+#: Bound of the labelled sample that the lexicon is learnt from.
+SAMPLE = 16_000
 #: Shares of the toxic training documents that an entry, and documents that an exception, needs.
 MIN_SHARE = 0.01
 MIN_DOCS = 3
@@ -199,14 +202,15 @@ def logistic(steps: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             mod: int = 4, rest: int = 2) -> DataFrame:
+             mod: int = 4, rest: int = 2, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, density and score of every document row."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     open_marks = shared(marks.where(~is_held_out(F.col("doc_id"), mod, rest)), "toxic-marks")
+    chosen = F.broadcast(open_marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # copies of a text count once, by the text itself
-    train = shared(rows.join(open_marks, "doc_id").withColumn("_h", F.xxhash64("text"))
+    train = shared(rows.join(chosen, "doc_id").withColumn("_h", F.xxhash64("text"))
                    .groupBy("_h", F.length("text").alias("_n")).agg(F.first("text").alias("text"),
                                                                    F.max("toxic").alias("toxic")), "toxic-train")
     lexicon, exceptions = (sc.broadcast(x) for x in learn(train))
