@@ -78,6 +78,31 @@ def test_no_declarations_and_no_rows(spark):
     assert language_id.keep_identified(documents(spark, [])).count() == 0
 
 
+def test_foreign_and_gibberish_texts_are_rejected(spark):
+    rng = random.Random(5)
+    letters = lambda: " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(12))
+    odd = ["这是一个没有人声明的语言写成的句子而且没有模型像它", "это предложение написано на языке которого никто не указал",
+           "αυτή η πρόταση δεν μοιάζει με καμία άλλη γλώσσα εδώ", letters(), letters()]
+    rows = language_rows(400) + [(9001 + i, text, declared, "host0.example.org")
+                              for i, text in enumerate(odd) for declared in [None, "en"][i % 2:i % 2 + 1]]
+    out = {r["doc_id"]: r for r in language_id.identify(
+        language_id.document_evidence(documents(spark, rows)), ["doc_id"]).collect()}
+    assert all(out[i]["kept"] for i, *_ in language_rows(400))
+    assert not any(out[9001 + i]["kept"] for i in range(len(odd)))
+    assert out[9001]["text_lang"] is None and out[9004]["text_lang"] is None
+
+
+def test_a_rare_language_is_modelled(spark):
+    """Two texts in over 2,000 declare it; many other declared codes do not crowd it out."""
+    rows = language_rows(700) + [(9001 + i, "tämä lause on kirjoitettu suomeksi ja se kertoo vanhasta talosta " * 3, "fi", "h")
+                                 for i in range(2)]
+    rows += [(9100 + i, f"koodi{chr(97 + i)} " * 4, f"q{chr(97 + i)}", None) for i in range(20)]
+    out = {r["doc_id"]: r for r in language_id.identify(
+        language_id.document_evidence(documents(spark, rows)), ["doc_id"]).collect()}
+    assert all(out[9001 + i]["lang"] == out[9001 + i]["text_lang"] == "fi" and out[9001 + i]["kept"] for i in range(2))
+    assert sum(out[i]["lang"] == lang for i, _, lang, _ in rows[:2100]) == 2100
+
+
 # --- 3: line templates ------------------------------------------------------
 
 def brute_lines(rows):
