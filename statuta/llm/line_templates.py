@@ -4,8 +4,9 @@ A line's tokens that hold a digit become the field mark ``<*>``.  The tree sorts
 token count, then by their first ``LEADING`` tokens.  Inside a leaf a template leaves one
 variable field open: the tokens after the leading ones form ``FIELDS`` even segments, and
 lines that agree in all but one segment share the template with that segment open (at
-most a fifth of a line's tokens, so its lines are 0.8 alike or more).  A template is
-recurring if it occurs in two or more documents; its first line (smallest doc_id, then
+most a fifth of a line's tokens).  Masked tokens are variable like open ones: a template
+needs two thirds of its tokens constant, and a line without such a template, as a row of
+numbers, only shares one with lines of the very same tokens.  A template is recurring if it occurs in two or more documents; its first line (smallest doc_id, then
 line number) stays and its other lines are dropped, in every document.
 
 DataFrame functions only.  Lines travel as hashes: leaf statistics collapse map-side, so a
@@ -29,29 +30,44 @@ MIN_TOKENS = 5
 LEADING = 3
 FIELDS = 6
 MASK = "<*>"
+#: Least share of a template's tokens that are neither masked nor in the open segment.
+CONSTANT = (2, 3)
+
+
+def spaced(line: Column) -> Column:
+    return F.btrim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
 def masked(line: Column) -> Column:
     """The line with single spaces, and tokens that hold a digit masked."""
-    spaced = F.btrim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    fields = F.regexp_replace(spaced, r"[^ 0-9]*+[0-9][^ ]*+", MASK)
+    fields = F.regexp_replace(spaced(line), r"[^ 0-9]*+[0-9][^ ]*+", MASK)
     # the linear test spares most lines the rewriting
     return F.when(line.rlike(r"[0-9\x09-\x0D]|  |^ | $"), fields).otherwise(line)
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of ``MIN_TOKENS`` or more: document, line number, leaf and segment hashes."""
+    """One row per line of ``MIN_TOKENS`` or more: document, line number, leaf and segment hashes,
+    the templates with enough constant tokens (``wordy``), and the whole line's hash."""
     lines = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"),
         F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    tokens = lines.select("doc_id", "version", "line_no", F.split(masked(F.col("line")), " ").alias("w")).where(
+    tokens = lines.select("doc_id", "version", "line_no", "line", F.split(masked(F.col("line")), " ").alias("w")).where(
         F.size("w") >= MIN_TOKENS)
     rest = f"(size(w) - {LEADING})"
-    segments = [f"xxhash64(slice(w, {LEADING + 1} + {rest} * {j} div {FIELDS},"
-                f" {rest} * {j + 1} div {FIELDS} - {rest} * {j} div {FIELDS}))" for j in range(FIELDS)]
-    return tokens.select(
-        "doc_id", "version", "line_no", F.expr(f"xxhash64(size(w), slice(w, 1, {LEADING}))").alias("leaf"),
-        F.expr(f"array({', '.join(segments)})").alias("segments"))
+    slices = [f"slice(w, {LEADING + 1} + {rest} * {j} div {FIELDS},"
+              f" {rest} * {j + 1} div {FIELDS} - {rest} * {j} div {FIELDS})" for j in range(FIELDS)]
+    least, of = CONSTANT
+    # tokens of ``w`` outside an open segment that are not masked, and the templates where they suffice, as bits
+    words = "filter({}, t -> t <> '" + MASK + "')"
+    constant = [f"(size({words.format('w')}) - size({words.format(x)}))" for x in slices]
+    wordy = " + ".join(f"IF({c} * {of} >= size(w) * {least}, {1 << j}, 0)" for j, c in enumerate(constant))
+    keys = tokens.select(
+        "doc_id", "version", "line_no", "line", F.expr(f"xxhash64(size(w), slice(w, 1, {LEADING}))").alias("leaf"),
+        F.expr(f"array({', '.join(f'xxhash64({x})' for x in slices)})").alias("segments"),
+        F.expr(f"CASE WHEN array_contains(w, '{MASK}') THEN {wordy} ELSE {(1 << FIELDS) - 1} END").alias("wordy"))
+    return keys.select("doc_id", "version", "line_no", "leaf", "segments", F.col("wordy").cast("byte").alias("wordy"),
+                       F.when(F.col("wordy") > 0, F.xxhash64("segments")).otherwise(
+                           F.xxhash64(F.split(spaced(F.col("line")), " "))).alias("line"))
 
 
 def _recurrence(*more: Column) -> list[Column]:
@@ -61,7 +77,7 @@ def _recurrence(*more: Column) -> list[Column]:
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, version, line_no of every line that repeats a template of an earlier document."""
-    keys = shared(line_keys(docs, id_col, text_col).withColumn("line", F.xxhash64("segments")), "lines")
+    keys = shared(line_keys(docs, id_col, text_col), "lines")
     leaves = shared(
         keys.groupBy("leaf").agg(*_recurrence(F.min("line").alias("a"), F.max("line").alias("b")))
         .where("low <> high").select("leaf", "first", (F.col("a") == F.col("b")).alias("alike")), "leaves")
@@ -70,8 +86,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = found.where(F.col("alike") & later).select("doc_id", "version", "line_no")
     mixed = shared(found.where(~F.col("alike")).select(
         "doc_id", "version", "line_no",
-        F.explode(F.array(*[F.xxhash64(F.col("leaf"), F.lit(j), *[F.col("segments")[i] for i in range(FIELDS) if i != j])
-                            for j in range(FIELDS)])).alias("template")), "templates")
+        F.explode(F.when(F.col("wordy") > 0, F.array_compact(F.array(*[
+            F.when(F.col("wordy").bitwiseAND(F.lit(1 << j).cast("byte")) > 0, F.xxhash64(
+                F.col("leaf"), F.lit(j), *[F.col("segments")[i] for i in range(FIELDS) if i != j]))
+            for j in range(FIELDS)]))).otherwise(F.array(F.xxhash64(F.col("leaf"), F.lit(-1), "line")))
+        ).alias("template")), "templates")
     recurring = shared(mixed.groupBy("template").agg(*_recurrence()).where("low <> high")
                        .select("template", "first"), "recurring")
     varied = mixed.join(recurring, "template").where(later).select("doc_id", "version", "line_no")

@@ -147,6 +147,21 @@ def test_lines_match_brute_force(spark):
     assert rows_of(line_templates.dedup_lines(documents(spark, rows)), "doc_id", "text", "n_lines_dropped") == brute_lines(rows)
 
 
+def test_rows_of_numbers_stay(spark):
+    """Numeric rows of two documents are only cut where all their values are equal."""
+    rows = [(1, "12 15 18 21 24\n7 7 7 7 7\nsales of 12 15 18 21 24 in all", "en", "s"),
+            (2, "2024-01-02 3.5 4.5 9.1 -7\n  7  7 7 7 7\nsales of 22 25 28 31 34 in all", "en", "s"),
+            (3, "40 41 42 43 44\nPage 3 of 17 printed at noon", "en", "s"), (4, "Page 4 of 99 printed at noon", "en", "s"),
+            (5, "x1 x2 x3 x4 x5\nx1 x2 x3 x4 x5", "en", "s")]
+    # the leaf "1 1 1 1 1 1" holds equal rows only
+    rows += [(i, "1 1 1 1 1 1", "en", "s") for i in (6, 7)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.dedup_lines(documents(spark, rows)).collect()}
+    want = {i: t for i, t, *_ in rows}
+    want[2] = "2024-01-02 3.5 4.5 9.1 -7\nsales of 22 25 28 31 34 in all"
+    want[4] = want[7] = ""
+    assert got == want
+
+
 def test_lines_of_the_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, "documents").collect()]
     assert rows_of(REGISTRY["op3_line_templates"](spark, SF), "doc_id", "text", "n_lines_dropped") == brute_lines(rows)
