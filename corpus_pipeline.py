@@ -14,7 +14,7 @@ from statuta.llm.common import shared, table
 from statuta.llm.decontaminate import drop_contaminated
 from statuta.llm.language_id import keep_identified
 from statuta.llm.line_templates import dedup_lines
-from statuta.llm.simhash_covering import keep_one
+from statuta.llm.simhash_covering import one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of smallest doc_id."""
-    return keep_one(docs)
+    """One document of each near-duplicate group, the one of smallest doc_id (nulls last)."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

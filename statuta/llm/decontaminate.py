@@ -13,7 +13,8 @@ shingle.  Only candidate documents are read again.
 
 Defined cases: words are the letter and digit runs of the lower-cased text; a text of one
 to four words is a single shingle, its whole sequence; a null or empty text has none and
-is in no pair; rows with a null id are not searched; rows that share a doc_id are one
+is in no pair; rows with a null id have no pair, but ``drop_contaminated`` searches them by
+their text; rows that share a doc_id are one
 document and rows that share an item_id one item; other columns are not read.
 """
 from __future__ import annotations
@@ -90,6 +91,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that leak an item."""
-    leaks = shared(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that leak an item; a row without doc_id is one by its text."""
+    key = F.coalesce(F.col("doc_id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    keyed = docs.select(key.alias("doc_id"), "text")
+    leaks = shared(contaminated(keyed, benchmark, **options).select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return docs.join(leaks, key == F.col("_key"), "left_anti").select(*docs.columns)

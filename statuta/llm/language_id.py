@@ -256,8 +256,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
                         address_suffix(F.col("url")).alias("suffix"), address_host(F.col("url")).alias("host"))
 
 
+def _row_key(*columns) -> Column:
+    # the hash skips nulls, so their places are hashed too
+    return F.xxhash64(*columns, *[F.isnull(c) for c in columns])
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language stays open; rows without doc_id stay."""
-    rejected = shared(identify(document_evidence(docs), ["doc_id"]).where("NOT kept").select("doc_id").distinct(),
-                      "lang-rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose language stays open, with or without a doc_id."""
+    # rows of one key have the same evidence
+    key = _row_key("doc_id", "text", "lang", F.col("source").cast("string"))
+    rejected = shared(identify(document_evidence(docs).withColumn("key", _row_key("doc_id", "text", "declared", "host")), ["key"])
+                      .where("NOT kept").select(F.col("key").alias("_key")).distinct(), "lang-rejected")
+    return docs.join(rejected, key == F.col("_key"), "left_anti").select(*docs.columns)

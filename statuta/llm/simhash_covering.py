@@ -6,16 +6,18 @@ For a radius ``r`` bit ``i`` gets a nonzero vector of ``r + 1`` bits, and each o
 inner product.  Any ``r`` differing bits leave a ``v`` orthogonal to all of them, so the
 pair agrees under that mask: every pair within the radius meets in some bucket.
 
-Copies collapse first: the tables hold each distinct fingerprint once, with its smallest
-doc_id.  Buckets of up to ``BUCKET_ROWS`` fingerprints are compared in one task and give
+Copies collapse first: the tables hold each distinct fingerprint once, which is also its
+node among the links.  Buckets of up to ``BUCKET_ROWS`` fingerprints are compared in one task and give
 the spanning stars of their links, not their pairs.  Fingerprints of larger buckets are
 linked through midpoints: two of them are within four bits exactly if some value is
 within two bits of both, so each meets its 2081 two-bit neighbours as hubs.  No bucket is
 cut.  Components come from distributed stars (``components``).
 
 Defined cases: null or blank text has fingerprint zero and links like any other; texts
-under ``shingle`` words are one shingle; repeated rows each get a row; a null doc_id is
-never a component's name unless its group has no other, and ``keep_one`` drops such rows.
+under ``shingle`` words are one shingle; repeated rows each get a row; rows with a null
+doc_id link like others, and a component is named by its smallest doc_id, or null if it has
+none.  ``one_of_each`` keeps one row of every component, named or not; ``keep_one`` keeps
+those with a doc_id.
 """
 from __future__ import annotations
 
@@ -131,20 +133,44 @@ def links_within(reps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKE
     return small.union(large)
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int,
+                bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, fp) per row, and (fp, node) per fingerprint; a component's node is its smallest fingerprint."""
+    prints = shared(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"),
+                                fingerprint_column(F.col(text_col), shingle).alias("fp")), "simhash")
+    points = shared(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    found = connected_components(links_within(points.select("fp", F.col("fp").alias("rep")), radius, bucket_rows))
+    named = points.join(found.withColumnRenamed("node", "_node"), F.col("fp") == F.col("_node"), "left").select(
+        "fp", "low", F.coalesce("component", "fp").alias("node"))
+    return prints, shared(named, "simhash-nodes")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document row."""
-    prints = shared(docs.select(F.col(id_col).alias("doc_id"),
-                                fingerprint_column(F.col(text_col), shingle).alias("fp")), "simhash")
-    reps = shared(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    found = connected_components(links_within(reps, radius, bucket_rows))
-    named = reps.join(found, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id"))
+    prints, nodes = _components(docs, id_col, text_col, shingle, radius, bucket_rows)
+    names = nodes.groupBy("node").agg(F.min("low").alias("component_id"))
+    named = nodes.join(names, "node").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row of every near-duplicate group: the one of smallest doc_id (nulls last), then of
+    smallest text hash."""
+    prints, nodes = _components(docs, id_col, text_col, shingle, radius, bucket_rows)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("first")
+    per_print = prints.groupBy("fp").agg(first)
+    kept = shared(per_print.join(nodes, "fp").groupBy("node").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.version").alias("_version")), "simhash-kept")
+    # the row travels as one struct, so that no column of ``docs`` meets one of ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"),
+                       F.xxhash64(text_col).alias("version"))
+    met = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left_semi")
+    return met.dropDuplicates(["doc_id", "version"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that give their component its name: one of each near-duplicate group."""
-    kept = simhash_components(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """``one_of_each``, without the rows that have no doc_id."""
+    return one_of_each(docs, **options).where(F.col(options.get("id_col", "doc_id")).isNotNull())

@@ -247,6 +247,36 @@ def test_one_of_each_group_stays(spark):
     assert simhash_covering.keep_one(documents(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_are_grouped_like_others(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("ape", "bee", "cow"))
+    rows = [(None, one, "en", "s"), (None, one, "en", "s"), (1, two, "en", "s"), (None, two, "en", "s"),
+            (2, three, "en", "s"), (2, LONG, "en", "s"), (2, three, "en", "s")]
+    kept = rows_of(corpus_pipeline.near_dedup(spark, documents(spark, rows), SF), "doc_id", "text")
+    assert kept == sorted([(None, one), (1, two), (2, three), (2, LONG)], key=str)
+
+
+def test_fingerprints_without_an_id_link(spark, monkeypatch):
+    """Two fingerprints eight bits apart are bridged by one that only a row without id holds."""
+    prints = F.expr("CASE text WHEN 'a' THEN 0 WHEN 'b' THEN 15 WHEN 'c' THEN 255 END").cast("long")
+    monkeypatch.setattr(simhash_covering, "fingerprint_column", lambda text, shingle: prints)
+    rows = [(1, "a", "en", "s"), (None, "b", "en", "s"), (2, "c", "en", "s")]
+    out = simhash_covering.simhash_components(documents(spark, rows))
+    assert [r["component_id"] for r in out.collect()] == [1, 1, 1]
+
+
+def test_stages_judge_rows_without_an_id(spark):
+    rows = language_rows() + [(None, "12 34 !!", "en", None), (None, WORDS["de"], "de", None), (None, PROSE, "en", None),
+                              (7, "56 78", "en", None), (7, WORDS["fr"] + " maison verte", "fr", None)]
+    kept = language_id.keep_identified(documents(spark, rows))
+    assert {r["text"] for r in kept.where("doc_id IS NULL OR doc_id = 7").collect()} >= {WORDS["de"], WORDS["fr"] + " maison verte"}
+    assert kept.where("text IN ('12 34 !!', '56 78')").count() == 0
+    items = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(documents(spark, rows), items)
+    assert left.where("doc_id IS NULL").count() == 2 and left.count() == len(rows) - 1
+
+
 # --- 7: decontamination -----------------------------------------------------
 
 def shingle_set(text):
