@@ -96,3 +96,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_evidence(table(spark, sf_dir, "documents")).withColumn("page_id", F.lit(None).cast("long"))
     pages = page_evidence(table(spark, sf_dir, "pages")).withColumn("doc_id", -1 - F.col("page_id"))
     return identify(docs.unionByName(pages), ["doc_id", "page_id"])
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
