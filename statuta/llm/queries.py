@@ -103,3 +103,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statuta.llm.spelling_variants import spelling_variants
 
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
