@@ -110,3 +110,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statuta.llm.hard_negatives import hard_negatives
 
     return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statuta.llm.template_extraction import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
