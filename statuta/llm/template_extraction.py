@@ -75,6 +75,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+MARKED = re.compile(r"class|id|role", re.I)
 #: A class or id that only says that the page has such a thing (has-sidebar, no-banner).
 STATES = frozenset("has have with without no not is show hide".split())
 NAME = re.compile(r"[a-z]+")
@@ -91,6 +92,31 @@ def hashed(*parts) -> int:
                           .digest(), "little") & MASK
 
 
+_WORDS: dict[str, int] = {}
+_PATHS: dict[tuple, int] = {}
+
+
+def word_hash(word: str) -> int:
+    """``hashed`` of a word; a bounded number of them is remembered."""
+    h = _WORDS.get(word)
+    if h is None:
+        if len(_WORDS) >= HELD:
+            _WORDS.clear()
+        h = _WORDS[word] = hashed(word)
+    return h
+
+
+def path_hash(up: int, tag: str, names: str) -> int:
+    """The path of an element by its tag and its class and id names without digits."""
+    key = up, tag, names
+    h = _PATHS.get(key)
+    if h is None:
+        if len(_PATHS) >= HELD:
+            _PATHS.clear()
+        h = _PATHS[key] = hashed(up, tag, *sorted(set(DIGITS.sub("", names).split())))
+    return h
+
+
 def is_furniture(tag: str, names: str, role: str, in_main: bool) -> bool:
     """Whether an element's tag, class and id names or role say that it is not the article."""
     if tag in ("html", "body", *MAIN_TAGS) and role not in FURNITURE_ROLES and tag not in MAIN_TAGS:
@@ -198,7 +224,7 @@ class Page:
 
     def _open_tag(self, tag: str, attributes: str) -> None:
         names = role = ""
-        if "=" in attributes:
+        if "=" in attributes and MARKED.search(attributes):
             for key, value in ATTRIBUTE.findall(attributes):
                 value = value.strip("\"'").lower()
                 if key.lower() == "role":
@@ -225,8 +251,8 @@ class Page:
         up = self._open_blocks[-1] if self._open_blocks else -1
         parent = self.elements[up] if up >= 0 else None
         number = len(self.elements)
-        path = hashed(parent.path if parent else 0, tag, *sorted(set(DIGITS.sub("", names).split())))
-        in_main = any(self._count.get(t) for t in MAIN_TAGS)
+        path = path_hash(parent.path if parent else 0, tag, names)
+        in_main = bool(self._count.get("article") or self._count.get("main"))
         furniture = bool(parent and parent.furniture) or is_furniture(tag, names, role, in_main)
         listed = number if tag in ("ul", "ol") else parent.listed if parent else 0
         self._open.append(number)
@@ -294,7 +320,7 @@ class Page:
         if not e.furniture:
             e.words += max(0, len(words) - linked)
             if len(words) <= SHORT_WORDS:
-                self.tokens.extend(hashed(e.path, w) for w in words)
+                self.tokens.extend(e.path ^ word_hash(w) for w in words)
             else:
                 self.tokens.append(hashed(e.path, " ".join(words)))
         self.blocks.append((" ".join(words), number, len(words), linked, e.furniture, e.listed, first,
@@ -342,8 +368,11 @@ def _vectors(batches):
                 counts[t] = counts.get(t, 0) + 1
             starts = {path ^ START: (share, page.elements[k].depth, page.elements[k].tag in MAIN_TAGS)
                       for path, (k, share) in page.containers().items()}
+            signs: dict[int, int] = {}
             for t, n in counts.items():
-                h = hashed(key, n)
+                h = signs.get(n)
+                if h is None:
+                    h = signs[n] = hashed(key, n)
                 share, depth, main = starts.get(t, (0.0, 0, False))
                 entry = held.get((host, t))
                 if entry is None:
