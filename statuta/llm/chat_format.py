@@ -1,9 +1,9 @@
 """Operator 8: chat formatting of typed content parts.
 
 A turn's content is a list of parts: text, image, audio or document.  A visitor over the
-list turns each part into a piece of the formatted text, in order: texts with their control
-strings escaped, the others as a placeholder that names its number.  Beside the text a
-turn keeps its attachments (number, type, reference, expanded tokens) and the total of
+list turns each part into a piece of the formatted text, in order: the texts between two
+attachments are joined and their control strings escaped (also one split between parts), the
+others become a placeholder that names its number.  Beside the text a turn keeps its attachments (number, type, reference, expanded tokens) and the total of
 expanded tokens.  Turns are marked by control strings; escaping puts a backslash behind the
 first character of any control string in a text (one more where backslashes already stand
 there), so that it can be undone and never reads as a mark.  The loss mask of a turn is the
@@ -81,17 +81,29 @@ def format_turns(messages: DataFrame) -> DataFrame:
     role = F.coalesce(F.col("role"), F.lit(""))
     base = messages.select("conv_id", "turn", role.alias("role"), parts.alias("parts"))
     base = base.withColumn("attached", F.filter("parts", _is_attached))
-    # an attachment's number is its rank among the attachments that stand before it
-    visited = base.withColumn("pieces", F.transform("parts", lambda p, i: F.when(
-        _is_attached(p), F.concat(F.lit("<|"), p["type"], F.lit("|"), F.size(F.filter(
-            F.slice("parts", F.lit(1), i), _is_attached)).cast("string"), F.lit("|>")))
-        .otherwise(escape(F.coalesce(p["text"], F.lit(""))))))
-    body = F.array_join("pieces", "")
+    # places of the attachments, from 1; run r is the text between attachments r - 1 and r
+    visited = base.withColumn("at", F.filter(F.transform("parts", lambda p, i: F.when(_is_attached(p), i + 1)),
+                                             lambda i: i.isNotNull()))
+    at, n = F.col("at"), F.size("at")
+
+    def run(r: Column) -> Column:
+        first = F.when(r > 0, F.element_at(at, F.greatest(r, F.lit(1)))).otherwise(0) + 1
+        end = F.when(r < n, F.element_at(at, F.least(r + 1, n))).otherwise(F.size("parts") + 1)
+        texts = F.transform(F.slice("parts", first, end - first), lambda p: F.coalesce(p["text"], F.lit("")))
+        # parts are joined before they are escaped: a control string may be split between them
+        return escape(F.array_join(texts, ""))
+
+    def mark(r: Column) -> Column:
+        kind = F.element_at("attached", F.least(r + 1, n))["type"]
+        return F.concat(F.lit("<|"), kind, F.lit("|"), r.cast("string"), F.lit("|>"))
+
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda r: F.when(r < n, F.concat(run(r), mark(r))).otherwise(run(r)))
+    visited = visited.withColumn("body", F.array_join(pieces, ""))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
     loss = F.when(F.col("role") == "assistant", F.struct(
-        F.length(head).alias("start"), (F.length(head) + F.length(body)).alias("end")))
+        F.length(head).alias("start"), (F.length(head) + F.length("body")).alias("end")))
     return visited.select(
-        "conv_id", "turn", F.concat(head, body, F.lit(END)).alias("segment"), loss.alias("loss"),
+        "conv_id", "turn", F.concat(head, "body", F.lit(END)).alias("segment"), loss.alias("loss"),
         F.transform("attached", lambda p, i: F.struct(
             i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens")))
         .alias("attachments"),
@@ -104,7 +116,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     marks = r"<\|(?:image|audio|document)\|\d+\|>"
 
     def plain(text: Column) -> Column:
-        return unescape(F.regexp_replace(text, marks, ""))
+        # the runs between placeholders were escaped one by one
+        return F.array_join(F.transform(F.split(text, marks, -1), unescape), "")
 
     start, end = F.col("loss")["start"], F.col("loss")["end"]
     return formatted.select(
