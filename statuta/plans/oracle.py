@@ -83,10 +83,10 @@ def bm25_ctes(corpus_sql: str, keys: list[str], queries_sql: str, qkeys: list[st
     return f"""
     toks AS (SELECT {k}, len(string_split(text, ' ')) AS dl, unnest(string_split(text, ' ')) AS token
              FROM ({corpus_sql})),
-    tf AS (SELECT {k}, dl, token, count(*) AS tf FROM toks GROUP BY ALL),
+    tf AS MATERIALIZED (SELECT {k}, dl, token, count(*) AS tf FROM toks GROUP BY ALL),
     docs AS (SELECT DISTINCT {k}, dl FROM tf),
-    n AS (SELECT count(*) AS n_docs, sum(dl) AS total_len, sum(dl) / count(*) AS avgdl FROM docs),
-    vraw AS (SELECT token, count(*) AS df,
+    n AS MATERIALIZED (SELECT count(*) AS n_docs, sum(dl) AS total_len, sum(dl) / count(*) AS avgdl FROM docs),
+    vraw AS MATERIALIZED (SELECT token, count(*) AS df,
                     ln((SELECT n_docs FROM n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw_idf
              FROM tf GROUP BY token),
     vocab AS (SELECT token, df, CASE WHEN raw_idf < 0 THEN 0.25 * (SELECT avg(raw_idf) FROM vraw)

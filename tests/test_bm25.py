@@ -82,3 +82,71 @@ def test_index_round_trip(spark, scratch):
     again = bm25.read_index(spark, f"{scratch}/idx")
     got = {r["qid"]: r["doc_id"] for r in bm25.top1(again, qs, ["qid"]).collect()}
     assert got == {0: 0, 1: 3}
+
+
+def ranked_directly(docs, query, k, compat):
+    want = [round(s, 6) for s in direct_scores(docs, query)]
+    order = sorted(range(len(docs)), key=lambda d: (-want[d], d))
+    return [(d, want[d] + 0.0) for d in order if compat or want[d] > 0][:k]
+
+
+def check_ranking(spark, docs, queries, blocks=False, heavy=None, compats=(False, True)):
+    corpus = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(3)
+    qs = spark.createDataFrame(list(enumerate(queries)), "qid bigint, text string")
+    idx = bm25.build_index(corpus, ["doc_id"])
+    idx = bm25.with_blocks(idx) if blocks else idx
+    for compat in compats:
+        got = {}
+        for r in bm25.topk(idx, qs, ["qid"], 15, compat=compat).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append((r["doc_id"], r["score"] + 0.0))
+        best = {r["qid"]: r["doc_id"] for r in bm25.top1(idx, qs, ["qid"], compat=compat).collect()}
+        for i, q in enumerate(queries):
+            want = ranked_directly(docs, q, 15, compat)
+            assert got.get(i, []) == want, (compat, q)
+            assert best[i] == (want[0][0] if want else None)
+
+
+def zipf_corpus(rng, n_docs, n_words, most=30):
+    words = ["w%d" % i for i in range(n_words)]
+    weights = [1 / (i + 1) for i in range(n_words)]
+    return words, [" ".join(rng.choices(words, weights, k=rng.randint(1, most))) for _ in range(n_docs)]
+
+
+def test_pruned_ranking_is_the_direct_one(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 4)
+    rng = random.Random(3)
+    words, docs = zipf_corpus(rng, 120, 200)
+    queries = [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(12)] + [docs[5], docs[7], "none such", ""]
+    check_ranking(spark, docs, queries)
+    check_ranking(spark, docs, queries, blocks=True, compats=(False,))
+
+
+def test_negative_floor(spark):
+    """Few words in nearly all documents: the mean idf, and so the floor, is negative."""
+    rng = random.Random(4)
+    docs = [" ".join(w for w in "abcd" if rng.random() < 0.9) or "a" for _ in range(30)] + ["e", "a e"]
+    check_ranking(spark, docs, ["a b", "a", "e", "a e b", "zz", "d d c"])
+
+
+def test_compat_fills_to_k(spark):
+    docs = ["x y"] + ["a b"] * 3 + ["c"] * 40 + ["x"]
+    check_ranking(spark, docs, ["x", "zz", "a"])
+
+
+def test_batches_beyond_the_bound_are_scored_in_full(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "QUERY_TERMS", 3)
+    rng = random.Random(5)
+    words, docs = zipf_corpus(rng, 40, 60)
+    check_ranking(spark, docs, [" ".join(words[10:20]), docs[3]], compats=(False,))
+
+
+def test_pairs_scored_in_full_are_few(spark):
+    """Of all pairs of a passage and a document, under a tenth is scored in full."""
+    rng = random.Random(6)
+    words, docs = zipf_corpus(rng, 800, 3000, most=60)
+    corpus = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    queries = [" ".join(docs[i].split(" ")[:12]) for i in range(0, 800, 20)]
+    qs = spark.createDataFrame(list(enumerate(queries)), "qid bigint, text string")
+    idx = bm25.build_index(corpus, ["doc_id"])
+    assert bm25.ranked(idx, qs, ["qid"], 1).count() < 0.1 * len(docs) * len(queries)
+    assert bm25.scores(idx, qs, ["qid"]).count() > 0.3 * len(docs) * len(queries)
