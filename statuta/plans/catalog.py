@@ -19,6 +19,7 @@ from statuta.operators import contain as C
 from statuta.operators import frontier as FR
 from statuta.operators import html as H
 from statuta.operators import qa as QA
+from statuta.operators import sink as SK
 from statuta.operators import store as S
 from statuta.operators.shred import shred
 from statuta.plans import jobs as J
@@ -740,7 +741,7 @@ def q_stream_insert_if_absent(spark, sf_dir):
     ST.land(b2, f"{base}/landing")
     ST.insert_if_absent_stream(spark, f"{base}/landing", b1.schema, f"{base}/sink",
                                f"{base}/checkpoint", ["text"], ["batch", "doc_id"])
-    return spark.read.parquet(f"{base}/sink").select("doc_id", "batch", "lang", "n_chars")
+    return SK.read_rows(spark, f"{base}/sink", b1.schema).select("doc_id", "batch", "lang", "n_chars")
 
 
 @register("stream_resume")
@@ -756,7 +757,7 @@ def q_stream_resume(spark, sf_dir):
     ST.insert_if_absent_stream(spark, f"{base}/landing", *args, f"{base}/checkpoint", ["text"], ["batch", "doc_id"])
     ST.land(b2, f"{base}/replay")
     ST.insert_if_absent_stream(spark, f"{base}/replay", *args, f"{base}/checkpoint2", ["text"], ["batch", "doc_id"])
-    return spark.read.parquet(f"{base}/sink").select("doc_id", "batch", "lang", "n_chars")
+    return SK.read_rows(spark, f"{base}/sink", b1.schema).select("doc_id", "batch", "lang", "n_chars")
 
 
 # ---------------------------------------------------------------------------
@@ -853,7 +854,7 @@ def q_pages_to_documents(spark, sf_dir):
     pages = with_landed(spark, sf_dir, PS.document_pages(spark, sf_dir), PS.result_pages(spark, sf_dir))
     J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
     J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
-    return spark.read.parquet(f"{base}/store").select(*J.DOC_STORE_SCHEMA.names)
+    return SK.read_rows(spark, f"{base}/store", J.DOC_STORE_SCHEMA)
 
 
 @register("documents_with_appendix")
@@ -863,7 +864,7 @@ def q_documents_with_appendix(spark, sf_dir):
     pages = document_pages(spark, sf_dir)
     J.documents_with_appendix(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
     J.documents_with_appendix(spark, pages, f"{base}/store", DEFAULT_DOMAIN)
-    return spark.read.parquet(f"{base}/store").select(*J.DOC_APPENDIX_SCHEMA.names)
+    return SK.read_rows(spark, f"{base}/store", J.DOC_APPENDIX_SCHEMA)
 
 
 @register("crawl_rounds")
@@ -872,5 +873,5 @@ def q_crawl_rounds(spark, sf_dir):
     base = scratch_path(spark, "crawl")
     pages = with_landed(spark, sf_dir, PS.document_pages(spark, sf_dir), PS.result_pages(spark, sf_dir, LINK_BASE))
     seeds = spark.range(1).select(F.lit(f"{LINK_BASE}tim.aspx?page=0").alias("link"))
-    out = J.crawl(spark, pages, seeds, LINK_BASE, f"{base}/store", f"{base}/visited", DEFAULT_DOMAIN)
+    out = J.crawl(spark, pages, seeds, LINK_BASE, f"{base}/store", f"{base}/state", DEFAULT_DOMAIN)
     return out.select("link", F.col("round").cast("bigint").alias("round"), "n_links")
