@@ -867,6 +867,25 @@ def q_documents_with_appendix(spark, sf_dir):
     return SK.read_rows(spark, f"{base}/store", J.DOC_APPENDIX_SCHEMA)
 
 
+@register("documents_quarantined")
+def q_documents_quarantined(spark, sf_dir):
+    """ST5: the document pages that the store with appendix could not take, with the reason;
+    stored and quarantined pages together are all pages."""
+    base = scratch_path(spark, "doc_quarantine")
+    J.documents_with_appendix(spark, document_pages(spark, sf_dir), f"{base}/store", DEFAULT_DOMAIN,
+                              quarantine_path=f"{base}/quarantine")
+    return spark.read.schema("page_id long, status string").parquet(f"{base}/quarantine")
+
+
+@register("linked_documents_quarantined")
+def q_linked_documents_quarantined(spark, sf_dir):
+    """ST5 + DS6: the linked document pages that could not be stored, with the reason."""
+    base = scratch_path(spark, "link_quarantine")
+    pages = with_landed(spark, sf_dir, PS.document_pages(spark, sf_dir), PS.result_pages(spark, sf_dir))
+    J.pages_to_documents(spark, pages, f"{base}/store", DEFAULT_DOMAIN, quarantine_path=f"{base}/quarantine")
+    return spark.read.schema("page_id long, status string").parquet(f"{base}/quarantine")
+
+
 @register("crawl_rounds")
 def q_crawl_rounds(spark, sf_dir):
     """ST4 + DS6: from the first result page over all pager links, storing documents."""

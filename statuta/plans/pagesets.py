@@ -159,4 +159,7 @@ FROM ({segments_sql})"""
     sql["pages_to_documents"] = f"""WITH {source} SELECT doc_id, org, date, receiver, signer, paras AS content,
   'vb/' || o_orderkey AS link, '{domain}' AS domain FROM d
 WHERE layout NOT IN ({MISSING_CELL}, {NO_CONTAINER}, {FEW_TABLES}) AND {linked}"""
+    sql["documents_quarantined"] = f"SELECT page_id, status FROM ({sql['doc_header_fields']}) WHERE status <> 'ok'"
+    sql["linked_documents_quarantined"] = f"""SELECT h.page_id, h.status FROM ({sql['doc_header_fields']}) h
+JOIN orders ON page_id = o_orderkey + {DOC_PAGES} WHERE status <> 'ok' AND {linked}"""
     return sql
