@@ -6,15 +6,18 @@ variable field open: the tokens after the leading ones form ``FIELDS`` even segm
 lines that agree in all but one segment share the template with that segment open (at
 most a fifth of a line's tokens).  Masked tokens are variable like open ones: a template
 needs two thirds of its tokens constant, and a line without such a template, as a row of
-numbers, only shares one with lines of the very same tokens.  A template is recurring if it occurs in two or more documents; its first line (smallest doc_id, then
-line number) stays and its other lines are dropped, in every document.
+numbers or one of fewer than ``FIELD_TOKENS`` tokens, only shares one with lines of the very
+same tokens.  A template is recurring if it occurs in two or more documents.  A line that is
+not the first (by doc_id, then line number) of one of its recurring templates is a
+candidate; it is dropped if the first line of one of these templates is no candidate
+itself.  So every line that goes repeats a template whose first line stays.
 
 DataFrame functions only.  Lines travel as hashes: leaf statistics collapse map-side, so a
 line that a third of all rows hold is one row per task; segments are only exploded in
 leaves that hold different lines and occur in several documents.  The text itself moves
 once, to meet its list of dropped line numbers.
 
-Defined cases: lines under ``MIN_TOKENS`` tokens are never dropped; a null text stays null
+Defined cases: blank lines are never dropped; a null text stays null
 and an empty one empty; rows with a null doc_id are left as they are; a repeated row is the
 same document, and is treated like its first; a line repeated inside one document only is
 kept; other columns pass through.  Keys are 64-bit hashes of whole lines.
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 from statuta.llm.common import shared
 
-MIN_TOKENS = 5
+#: Fewest tokens of a line whose template may leave a field open.
+FIELD_TOKENS = 5
 LEADING = 3
 FIELDS = 6
 MASK = "<*>"
@@ -46,14 +50,15 @@ def masked(line: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of ``MIN_TOKENS`` or more: document, line number, leaf and segment hashes,
+    """One row per line with a token: document, line number, leaf and segment hashes,
     the templates with enough constant tokens (``wordy``), and the whole line's hash."""
     lines = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"),
-        F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.split(text_col, "\n").alias("lines"))
+    # the hash is taken before the generator, so that it is not taken again for every line
+    lines = lines.select("doc_id", "version", F.posexplode("lines").alias("line_no", "line"))
     tokens = lines.select("doc_id", "version", "line_no", "line", F.split(masked(F.col("line")), " ").alias("w")).where(
-        F.size("w") >= MIN_TOKENS)
-    rest = f"(size(w) - {LEADING})"
+        F.col("w")[0] != "")
+    rest = f"greatest(size(w) - {LEADING}, 0)"
     slices = [f"slice(w, {LEADING + 1} + {rest} * {j} div {FIELDS},"
               f" {rest} * {j + 1} div {FIELDS} - {rest} * {j} div {FIELDS})" for j in range(FIELDS)]
     least, of = CONSTANT
@@ -64,7 +69,8 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keys = tokens.select(
         "doc_id", "version", "line_no", "line", F.expr(f"xxhash64(size(w), slice(w, 1, {LEADING}))").alias("leaf"),
         F.expr(f"array({', '.join(f'xxhash64({x})' for x in slices)})").alias("segments"),
-        F.expr(f"CASE WHEN array_contains(w, '{MASK}') THEN {wordy} ELSE {(1 << FIELDS) - 1} END").alias("wordy"))
+        F.expr(f"CASE WHEN size(w) < {FIELD_TOKENS} THEN 0 WHEN array_contains(w, '{MASK}') THEN {wordy}"
+               f" ELSE {(1 << FIELDS) - 1} END").alias("wordy"))
     return keys.select("doc_id", "version", "line_no", "leaf", "segments", F.col("wordy").cast("byte").alias("wordy"),
                        F.when(F.col("wordy") > 0, F.xxhash64("segments")).otherwise(
                            F.xxhash64(F.split(spaced(F.col("line")), " "))).alias("line"))
@@ -93,20 +99,28 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ).alias("template")), "templates")
     recurring = shared(mixed.groupBy("template").agg(*_recurrence()).where("low <> high")
                        .select("template", "first"), "recurring")
-    varied = mixed.join(recurring, "template").where(later).select("doc_id", "version", "line_no")
-    return same.union(varied)
+    varied = shared(mixed.join(recurring, "template").where(later).select(
+        "doc_id", "version", "line_no", F.col("first.doc_id").alias("first_doc"),
+        F.col("first.line_no").alias("first_line")), "varied")
+    candidates = varied.select(F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line")).distinct()
+    anchored = varied.join(candidates, ["first_doc", "first_line"], "left_anti")
+    return same.union(anchored.select("doc_id", "version", "line_no"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with recurring lines cut from the text, and ``n_lines_dropped``."""
-    drops = dropped_lines(docs, id_col, text_col).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("drop"))
+    drops = dropped_lines(docs, id_col, text_col).groupBy("doc_id", "version").agg(
+        F.sort_array(F.collect_set("line_no")).alias("drop"))
     # the row travels as one struct, so that no column of ``docs`` meets one of ours
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"),
                        F.xxhash64(text_col).alias("version"))
     joined = rows.join(drops, ["doc_id", "version"], "left")
-    lines = F.split(F.col("row")[text_col], "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
-    cut = F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")
+    # whether each line goes, up to the last one that does; zip_with splits the text once
+    drop = F.col("drop")
+    gaps = F.transform(drop, lambda d, k: d - F.when(k > 0, F.get(drop, k - 1) + 1).otherwise(0))
+    goes = F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
+    lines = F.zip_with(F.split(F.col("row")[text_col], "\n"), goes, lambda line, g: F.when(g, None).otherwise(line))
+    cut = F.array_join(lines, "\n")
     return joined.select(
         *[F.when(F.col("drop").isNull(), F.col("row")[c]).otherwise(cut).alias(c) if c == text_col
           else F.col("row")[c].alias(c) for c in docs.columns],

@@ -2,21 +2,27 @@
 from __future__ import annotations
 
 from statuta.llm.decontaminate import CONTAINMENT, SHINGLE
-from statuta.llm.line_templates import FIELDS, LEADING, MASK, MIN_TOKENS
+from statuta.llm.line_templates import CONSTANT, FIELD_TOKENS, FIELDS, LEADING, MASK
 
 SQL: dict[str, str] = {}
 
-# --- 3: line templates: each line's six templates with one field open ---------
+# --- 3: line templates: each line's templates with one field open, or its very tokens ---------
+_LEAST, _OF = CONSTANT
 SQL["op3_line_templates"] = f"""WITH l AS (
   SELECT doc_id, generate_subscripts(x, 1) - 1 AS no, unnest(x) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-w AS (SELECT doc_id, no, list_transform(string_split(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' '),
-        lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{MASK}' ELSE t END) AS w FROM l),
-k AS (SELECT doc_id, no, j, len(w) AS n, w[:{LEADING} + (len(w) - {LEADING}) * j // {FIELDS}] AS head,
+t AS (SELECT doc_id, no, string_split(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ') AS raw FROM l),
+w AS (SELECT doc_id, no, raw, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{MASK}' ELSE t END) AS w
+      FROM t WHERE raw[1] <> ''),
+f AS (SELECT doc_id, no, j, len(w) AS n, w[:{LEADING} + (len(w) - {LEADING}) * j // {FIELDS}] AS head,
         w[{LEADING} + 1 + (len(w) - {LEADING}) * (j + 1) // {FIELDS}:] AS tail
-      FROM w, range({FIELDS}) t(j) WHERE len(w) >= {MIN_TOKENS}),
+      FROM w, range({FIELDS}) t(j) WHERE len(w) >= {FIELD_TOKENS}),
+k AS (SELECT * FROM f WHERE len(list_filter(head || tail, lambda t: t <> '{MASK}')) * {_OF} >= n * {_LEAST}
+      UNION ALL SELECT doc_id, no, -1, len(raw), raw, [] FROM w WHERE (doc_id, no) NOT IN (
+        SELECT (doc_id, no) FROM f WHERE len(list_filter(head || tail, lambda t: t <> '{MASK}')) * {_OF} >= n * {_LEAST})),
 g AS (SELECT j, n, head, tail, min((doc_id, no)) AS first FROM k GROUP BY ALL HAVING min(doc_id) <> max(doc_id)),
-gone AS (SELECT DISTINCT doc_id, no FROM k JOIN g USING (j, n, head, tail) WHERE (doc_id, no) <> first),
+candidate AS (SELECT doc_id, no, first FROM k JOIN g USING (j, n, head, tail) WHERE (doc_id, no) <> first),
+gone AS (SELECT DISTINCT doc_id, no FROM candidate WHERE first NOT IN (SELECT (doc_id, no) FROM candidate)),
 cut AS (SELECT l.doc_id, count(gone.no) AS n_lines_dropped,
           coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (gone.no IS NULL), '') AS rest
         FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.no = l.no GROUP BY l.doc_id)

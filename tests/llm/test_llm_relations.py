@@ -107,24 +107,27 @@ def test_a_rare_language_is_modelled(spark):
 
 def brute_lines(rows):
     """Line dedup by direct grouping of tokens."""
-    occ = []
+    mask, n = line_templates.MASK, line_templates.FIELDS
+    least, of = line_templates.CONSTANT
+    groups = collections.defaultdict(set)
     for i, text, *_ in rows:
         if i is None or text is None:
             continue
         for no, line in enumerate(text.split("\n")):
-            w = [re.sub(r"^\S*[0-9]\S*$", line_templates.MASK, t) for t in line.strip(" \t\x0b\x0c\r").split()]
-            if len(w) >= line_templates.MIN_TOKENS:
-                occ.append((i, no, tuple(w)))
-    groups, n = collections.defaultdict(set), line_templates.FIELDS
-    for i, no, w in occ:
-        rest = len(w) - line_templates.LEADING
-        cut = [line_templates.LEADING + rest * j // n for j in range(n + 1)]
-        for j in range(n):
-            groups[len(w), j, w[:cut[j]], w[cut[j + 1]:]].add((i, no))
-    drop = set()
+            raw = tuple(line.strip(" \t\x0b\x0c\r").split())
+            w = tuple(re.sub(r"^\S*[0-9]\S*$", mask, t) for t in raw)
+            rest = len(w) - line_templates.LEADING
+            cut = [line_templates.LEADING + rest * j // n for j in range(n + 1)]
+            keys = [(len(w), j, w[:cut[j]], w[cut[j + 1]:]) for j in range(n) if len(w) >= line_templates.FIELD_TOKENS]
+            keys = [k for k in keys if sum(t != mask for t in k[2] + k[3]) * of >= len(w) * least]
+            for k in keys or [raw] * bool(raw):
+                groups[k].add((i, no))
+    firsts = collections.defaultdict(set)
     for some in groups.values():
         if len({i for i, _ in some}) > 1:
-            drop |= some - {min(some)}
+            for line in some - {min(some)}:
+                firsts[line].add(min(some))
+    drop = {line for line, anchors in firsts.items() if anchors - set(firsts)}
     out = []
     for i, text, *_ in rows:
         lines = (text or "").split("\n")
