@@ -3,21 +3,25 @@
 The index lists, for each licence template, the positions of its words.  Document
 frequencies of all licence words are counted over the whole corpus; a template's anchors
 are its words of highest inverse document frequency.  A file's anchor words are looked up,
-the highest first, and every posting gives the place where that template would start; the
-places that anchors agree on are scored by the weighted share of template words found at
-their relative positions (a few words may have shifted), and count only if the template's
-mandatory key phrases stand there word for word.  Base phrases are found apart from that.
+and every posting gives the place where that template would start; postings of different
+anchors are intersected by that place (a few words may have shifted), and the places that
+``MIN_ANCHORS`` of them share are scored by the weighted share of template words found at
+their relative positions.  A place counts only if the template's mandatory key phrases
+stand there word for word, and if no rival template fits the same words better (so an
+affero or lesser licence is not read as the general one).  Base phrases are found apart from
+that.  Places of words and key phrases are listed once a file, so the time follows its length.
 
 Counting is a Spark aggregation; the scan is one pass of Arrow batches with the index,
 whose size is that of the fixed templates.  Nothing is shuffled but the word counts.
 
 Defined cases: null text is empty (no words, no labels, score 0); repeated rows each get a
-row; other columns are not read.
+row; templates of equal score at one place all count; other columns are not read.
 """
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -31,6 +35,7 @@ ship(__name__)
 # Base phrases, and licence notices with their mandatory key phrases.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = (
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3", ("affero general public license",)),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the "
                    "license at http www apache org licenses license 2 0", ("compliance with the license",)),
@@ -46,6 +51,10 @@ TEMPLATES = (
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published "
             "by the free software foundation", ("general public license",)),
     ("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
+    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1",
+     ("lesser general public license version 2 1",)),
+    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3",
+     ("lesser general public license version 3",)),
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
             "associated documentation files", ("permission is hereby granted",)),
@@ -54,6 +63,8 @@ TEMPLATES = (
 )
 #: Highest-IDF words of a template that serve as its anchors.
 ANCHORS = 3
+#: Anchors that must agree on a place (all, of a template with fewer).
+MIN_ANCHORS = 2
 #: Least weighted share of a template's words, and the shift that still counts as in place.
 MIN_SCORE = 0.6
 SLACK = 2
@@ -74,34 +85,59 @@ def places(words: list[bytes], where: dict[bytes, list[int]], phrase: list[bytes
 def build_index(idf: dict[bytes, float], templates=TEMPLATES) -> dict:
     """Postings of the anchor words, and the words, weights and key phrases of each template."""
     postings: dict[bytes, list[tuple[int, int]]] = {}
-    entries = []
+    entries, anchors = [], []
     for t, (label, text, keys) in enumerate(templates):
         words = words_of(text)
         entries.append((label, words, [idf.get(w, 0.0) for w in words], [words_of(k) for k in keys]))
-        for anchor in sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))[:ANCHORS]:
+        chosen = sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))[:ANCHORS]
+        anchors.append(len(chosen))
+        for anchor in chosen:
             postings.setdefault(anchor, []).extend((t, p) for p, w in enumerate(words) if w == anchor)
-    return {"postings": postings, "entries": entries, "idf": idf}
+    return {"postings": postings, "entries": entries, "anchors": anchors}
+
+
+def _fits(words: list[bytes], where: dict[bytes, list[int]], index: dict):
+    """(matched weight, score, template, start) of the places where a template and its key phrases stand."""
+    starts: dict[int, dict[int, set[bytes]]] = {}
+    for word, postings in index["postings"].items():
+        for i in where.get(word, ()):
+            for t, p in postings:
+                starts.setdefault(t, {}).setdefault(i - p, set()).add(word)
+    phrases: dict[bytes, list[int]] = {}
+    for t, found in starts.items():
+        _, expected, weights, keys = index["entries"][t]
+        total, needed = sum(weights), min(MIN_ANCHORS, index["anchors"][t])
+        for start in found:
+            low, high = start - SLACK, start + len(expected) + SLACK
+            if len(set().union(*(found.get(s, ()) for s in range(low, start + SLACK + 1)))) < needed:
+                continue
+            for key in keys:
+                name = b" ".join(key)
+                if name not in phrases:
+                    phrases[name] = places(words, where, key)
+                at = bisect_left(phrases[name], low)
+                if at == len(phrases[name]) or phrases[name][at] + len(key) > high:
+                    break
+            else:
+                got = sum(weight for k, (w, weight) in enumerate(zip(expected, weights))
+                          if w in words[max(0, start + k - SLACK):max(0, start + k + SLACK + 1)])
+                if total > 0 and got >= MIN_SCORE * total:
+                    yield got, min(1.0, got / total), t, start
 
 
 def template_matches(words: list[bytes], where: dict[bytes, list[int]], index: dict) -> dict[str, float]:
-    """Label -> best score of the templates found in a file."""
+    """Label -> best score of the templates found in a file, without those that a rival outdoes."""
+    fits = list(_fits(words, where, index))
+    # the most weight that a template matches around every place: it explains the words there best
+    best: dict[int, float] = {}
+    for got, _, _, start in fits:
+        for place in range(start - SLACK, start + SLACK + 1):
+            best[place] = max(best.get(place, 0.0), got)
     found: dict[str, float] = {}
-    starts: dict[tuple[int, int], int] = {}
-    for word in sorted((w for w in index["postings"] if w in where), key=lambda w: -index["idf"].get(w, 0.0)):
-        for t, p in index["postings"][word]:
-            for i in where[word]:
-                starts[t, i - p] = starts.get((t, i - p), 0) + 1
-    for (t, start), _ in sorted(starts.items(), key=lambda s: (-s[1], s[0])):
-        label, expected, weights, keys = index["entries"][t]
-        total = sum(weights)
-        got = sum(weight for k, (w, weight) in enumerate(zip(expected, weights))
-                  if w in words[max(0, start + k - SLACK):max(0, start + k + SLACK + 1)])
-        score = got / total if total > 0 else 0.0
-        if score < MIN_SCORE or score <= found.get(label, 0.0):
-            continue
-        low, high = start - SLACK, start + len(expected) + SLACK
-        if all(any(low <= i and i + len(key) <= high for i in places(words, where, key)) for key in keys):
-            found[label] = min(1.0, score)
+    for got, score, t, start in fits:
+        label = index["entries"][t][0]
+        if got >= best[start] - 1e-9 and score > found.get(label, 0.0):
+            found[label] = score
     return found
 
 
