@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import ahocorasick
 import numpy as np
@@ -117,7 +118,18 @@ def matches(folded: str, found) -> dict[int, float]:
             excepted.append((start, end))
         elif weight > hits.get(start, 0.0):
             hits[start] = weight
-    return {s: w for s, w in hits.items() if not any(a <= s < b for a, b in excepted)}
+    if not excepted:
+        return hits
+    # spans in order, those that overlap as one; a word's span is the last that begins at or before it
+    lows, highs = [], []
+    for a, b in sorted(excepted):
+        if highs and a <= highs[-1]:
+            highs[-1] = max(highs[-1], b)
+        else:
+            lows.append(a)
+            highs.append(b)
+    inside = {s: bisect_right(lows, s) - 1 for s in hits}
+    return {s: w for s, w in hits.items() if inside[s] < 0 or s >= highs[inside[s]]}
 
 
 def _explode_phrases(lexicon):
@@ -130,9 +142,9 @@ def _explode_phrases(lexicon):
             for toxic, text in zip(batch["toxic"], batch["text"]):
                 folded, own = fold(text), set()
                 for start in matches(folded, found):
-                    word = folded[start + 1:folded.index(" ", start + 1)]
-                    before = folded[:start].rsplit(" ", 1)[-1] if start else ""
-                    after = folded[start + 1 + len(word):].lstrip(" ").split(" ", 1)[0]
+                    end = folded.index(" ", start + 1)
+                    word, before = folded[start + 1:end], folded[folded.rfind(" ", 0, start) + 1:start]
+                    after = folded[end + 1:max(end, folded.find(" ", end + 1))]
                     own |= {f"{before} {word}"} if before else set()
                     own |= {f"{word} {after}"} if after else set()
                 rows += [(p, int(toxic)) for p in own]
