@@ -34,6 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that none of them meets a column of ours in a join."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
+
+
+def row_columns(df: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of ``df`` out of their struct."""
+    return [F.col(row)[c].alias(c) for c in df.columns]
+
+
 def space_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array (null or blank text: empty array)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

@@ -11,8 +11,9 @@ DataFrame functions only.  Documents stream past the sketches; Spark broadcasts
 table only if its written size allows, and else joins by hash with AQE splitting a hot
 shingle.  Only candidate documents are read again.
 
-Defined cases: words are the letter and digit runs of the lower-cased text; a text of one
-to four words is a single shingle, its whole sequence; a null or empty text has none and
+Defined cases: words are the letter and digit runs of the lower-cased text; an item of one
+to four words is a single shingle, its whole sequence, and documents are also searched for
+word sequences of the lengths that such items have; a null or empty text has none and
 is in no pair; rows with a null id have no pair, but ``drop_contaminated`` searches them by
 their text; rows that share a doc_id are one
 document and rows that share an item_id one item; other columns are not read.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import shared
+from statuta.llm.common import row_columns, shared, whole_row
 
 SHINGLE = 5
 #: Least share, in percent, of an item's shingles that a leaking document holds.
@@ -33,15 +34,29 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _hashes(words: str) -> Column:
-    """One hash per shingle position; short texts give one hash of the whole sequence."""
+def _short_runs(words: str, short: tuple[int, ...], run: str) -> list[str]:
+    """One array per length: ``run`` of each slice of so many words."""
+    kind = "bigint" if "hash" in run else "string"
+    return [f"CASE WHEN size({words}) < {n} THEN cast(array() AS array<{kind}>) ELSE transform("
+            f"sequence(1, size({words}) - {n} + 1), i -> {run.format(f'slice({words}, i, {n})')}) END" for n in short]
+
+
+def _hashes(words: str, short: tuple[int, ...] = ()) -> Column:
+    """One hash per shingle position; short texts give one hash of the whole sequence.  With
+    ``short``, also one for every run of so many words."""
+    if short:
+        more = ", ".join(_short_runs(words, short, "xxhash64({})"))
+        return F.concat(_hashes(words), F.expr(f"concat({more})"))
     parts = ", ".join(f"{words}[i + {k}]" for k in range(SHINGLE))
     return F.expr(f"CASE WHEN size({words}) = 0 THEN cast(array() AS array<bigint>)"
                   f" WHEN size({words}) < {SHINGLE} THEN array(xxhash64({words}))"
                   f" ELSE transform(sequence(0, size({words}) - {SHINGLE}), i -> xxhash64({parts})) END")
 
 
-def _shingles(words: str) -> Column:
+def _shingles(words: str, short: tuple[int, ...] = ()) -> Column:
+    if short:
+        more = ", ".join(_short_runs(words, short, "array_join({}, ' ')"))
+        return F.array_distinct(F.concat(_shingles(words), F.expr(f"concat({more})")))
     return F.expr(f"CASE WHEN size({words}) = 0 THEN cast(array() AS array<string>)"
                   f" WHEN size({words}) < {SHINGLE} THEN array(array_join({words}, ' '))"
                   f" ELSE array_distinct(transform(sequence(1, size({words}) - {SHINGLE} + 1),"
@@ -75,13 +90,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  percent: int = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every pair at or above ``percent``."""
     sketches = shared(item_sketches(benchmark, percent=percent), "sketches")
+    lengths = benchmark.where("item_id IS NOT NULL").select(F.size(_words(F.col("text"))).alias("n"))
+    # at most SHINGLE - 1 numbers
+    short = tuple(sorted(r["n"] for r in lengths.where(F.col("n").between(1, SHINGLE - 1)).distinct().collect()))
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("w"))
-    hits = texts.select("doc_id", F.explode(_hashes("w")).alias("hash")).join(sketches, "hash")
+    hits = texts.select("doc_id", F.explode(_hashes("w", short)).alias("hash")).join(sketches, "hash")
     candidates = shared(hits.select("doc_id", "item_id").distinct(), "leak-candidates")
     suspects = shared(candidates.select("doc_id").distinct(), "leak-suspects")
     items = shared(item_shingles(benchmark), "item-shingles")
-    found = texts.join(suspects, "doc_id").select("doc_id", F.explode(_shingles("w")).alias("shingle"))
+    found = texts.join(suspects, "doc_id").select("doc_id", F.explode(_shingles("w", short)).alias("shingle"))
     counts = found.join(items, "shingle").groupBy("doc_id", "item_id", "n_item").agg(
         F.count_distinct("shingle").alias("n_shared"))
     return (counts.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
@@ -94,5 +112,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """``docs`` without the documents that leak an item; a row without doc_id is one by its text."""
     key = F.coalesce(F.col("doc_id"), F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     keyed = docs.select(key.alias("doc_id"), "text")
-    leaks = shared(contaminated(keyed, benchmark, **options).select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return docs.join(leaks, key == F.col("_key"), "left_anti").select(*docs.columns)
+    leaks = shared(contaminated(keyed, benchmark, **options).select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    rows = docs.select(whole_row(docs).alias("row"), key.alias("key"))
+    return rows.join(leaks, "key", "left_anti").select(*row_columns(docs))

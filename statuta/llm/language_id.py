@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import shared, ship
+from statuta.llm.common import row_columns, shared, ship, whole_row
 
 ship(__name__)
 
@@ -266,5 +266,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     # rows of one key have the same evidence
     key = _row_key("doc_id", "text", "lang", F.col("source").cast("string"))
     rejected = shared(identify(document_evidence(docs).withColumn("key", _row_key("doc_id", "text", "declared", "host")), ["key"])
-                      .where("NOT kept").select(F.col("key").alias("_key")).distinct(), "lang-rejected")
-    return docs.join(rejected, key == F.col("_key"), "left_anti").select(*docs.columns)
+                      .where("NOT kept").select("key").distinct(), "lang-rejected")
+    rows = docs.select(whole_row(docs).alias("row"), key.alias("key"))
+    return rows.join(rejected, "key", "left_anti").select(*row_columns(docs))

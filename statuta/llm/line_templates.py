@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import shared
+from statuta.llm.common import shared, whole_row
 
 #: Fewest tokens of a line whose template may leave a field open.
 FIELD_TOKENS = 5
@@ -112,7 +112,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     drops = dropped_lines(docs, id_col, text_col).groupBy("doc_id", "version").agg(
         F.sort_array(F.collect_set("line_no")).alias("drop"))
     # the row travels as one struct, so that no column of ``docs`` meets one of ours
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"),
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("doc_id"),
                        F.xxhash64(text_col).alias("version"))
     joined = rows.join(drops, ["doc_id", "version"], "left")
     # whether each line goes, up to the last one that does; zip_with splits the text once

@@ -39,7 +39,13 @@ def _shingles(table: str, key: str) -> str:
         FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL)"""
 
 
-SQL["op7_decontaminate"] = f"""WITH d AS ({_shingles('documents', 'doc_id')}), b AS ({_shingles('benchmark', 'item_id')}),
+# runs of words as long as the items of under SHINGLE words
+_RUNS = f"""SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+  FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
+        FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    (SELECT DISTINCT len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS n FROM benchmark)
+  WHERE n BETWEEN 1 AND {SHINGLE - 1} AND len(w) >= n"""
+SQL["op7_decontaminate"] = f"""WITH d AS ({_shingles('documents', 'doc_id')} UNION {_RUNS}), b AS ({_shingles('benchmark', 'item_id')}),
 n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item

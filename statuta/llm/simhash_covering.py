@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import shared, ship
+from statuta.llm.common import shared, ship, whole_row
 from statuta.llm.components import connected_components
 
 ship(__name__)
@@ -165,7 +165,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = shared(per_print.join(nodes, "fp").groupBy("node").agg(F.min("first").alias("first")).select(
         F.col("first.doc_id").alias("_id"), F.col("first.version").alias("_version")), "simhash-kept")
     # the row travels as one struct, so that no column of ``docs`` meets one of ours
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"),
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("doc_id"),
                        F.xxhash64(text_col).alias("version"))
     met = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left_semi")
     return met.dropDuplicates(["doc_id", "version"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])

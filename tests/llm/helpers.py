@@ -13,7 +13,7 @@ DOCS = [
 ]
 #: Names that the operators use inside.
 EXTRA = ["w", "_w", "fp", "rep", "leaf", "version", "hash", "block", "ids", "n", "score", "stratum", "_drop", "item_id",
-         "declared", "host", "segments"]
+         "declared", "host", "segments", "_key", "key", "row", "drop", "lines", "a.b", "c`d"]
 
 
 def documents(spark, rows=DOCS):
@@ -22,7 +22,7 @@ def documents(spark, rows=DOCS):
                            T.StructField("n_chars", T.LongType())])
     full = [(i, t, la, s, len(t) if t is not None else None) for i, t, la, s in rows]
     df = spark.createDataFrame(full, schema)
-    return df.selectExpr("*", *[f"'x' AS {c}" for c in EXTRA])
+    return df.selectExpr("*", *["'x' AS `" + c.replace("`", "``") + "`" for c in EXTRA])
 
 
 def plain(df):

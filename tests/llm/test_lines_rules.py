@@ -53,3 +53,26 @@ def test_time_follows_the_length_of_a_text(spark):
 
     seconds(1_000)
     assert seconds(80_000) < 5 * max(seconds(20_000), 2.0)
+
+
+def test_short_items_inside_long_documents(spark):
+    """Items of one to four words are found as runs of words, by Spark and by the SQL."""
+    from statuta.llm import decontaminate
+
+    items = [(1, "Paris"), (2, "blue  whale"), (3, "who wrote hamlet ?"), (4, "capital of france is"),
+             (5, "one two three four five six"), (6, ""), (7, None)]
+    texts = [(10, "They say a Blue whale eats krill in the wide open sea"), (11, "who, wrote Hamlet"), (12, "wrote hamlet who"),
+             (13, "x " * 50 + "The capital of France is Paris. " + "y " * 50), (14, "one two three four five six"), (15, None),
+             (16, "whale blue parisian"), (17, "")]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in texts])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(10, 2), (11, 3), (13, 1), (13, 4), (14, 5)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert {tuple(r[:2]) for r in con.execute(SQL["op7_decontaminate"]).fetchall()} == got
+    left = [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()]
+    assert sorted(left) == [12, 15, 16, 17]
