@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.llm.byte_bpe import encode_decode
-from statuta.llm.common import shared, table
+from statuta.llm.common import quoted, shared, table
 from statuta.llm.decontaminate import drop_contaminated
 from statuta.llm.language_id import keep_identified
 from statuta.llm.line_templates import dedup_lines
@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with recurring lines cut from their texts; ``n_chars`` follows the text."""
     cut = dedup_lines(docs)
     n_chars = F.when(F.col("n_lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    return cut.withColumn("n_chars", n_chars).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
