@@ -287,11 +287,18 @@ def shingle_set(text):
     return {" ".join(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({" ".join(words)} if words else set())
 
 
+def word_runs(text, n):
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    return {" ".join(words[i:i + n]) for i in range(len(words) - n + 1)}
+
+
 def brute_leaks(docs, items):
+    """Shingle sets; documents also hold their runs of as many words as short items have."""
+    short = {len(shingle.split()) for i, t in items if i is not None for shingle in shingle_set(t)} - {5}
     sets = collections.defaultdict(set)
     for i, t in docs:
         if i is not None:
-            sets[i] |= shingle_set(t)
+            sets[i] |= shingle_set(t).union(*(word_runs(t, n) for n in short))
     wanted = collections.defaultdict(set)
     for i, t in items:
         if i is not None:
