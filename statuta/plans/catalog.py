@@ -29,6 +29,7 @@ from statuta.session import broadcast_if_small
 from statuta.session import scratch_path
 from statuta.session import spread
 from statuta.sources import files as FS
+from statuta.sources import snapshots as SN
 from statuta.sources.tables import table
 from statuta.streaming import ingest as ST
 
@@ -867,6 +868,43 @@ def q_documents_with_appendix(spark, sf_dir):
     return SK.read_rows(spark, f"{base}/store", J.DOC_APPENDIX_SCHEMA)
 
 
+@register("snapshot_changes")
+def q_snapshot_changes(spark, sf_dir):
+    """SRC1 + SRC6: three landings of the given pages; what the last changed against the first."""
+    base = scratch_path(spark, "snapshots")
+    pages = table(spark, sf_dir, "pages")
+    SN.land(spark, pages, base)
+    SN.land(spark, pages.where("page_id % 3 <> 0"), base)
+    third = pages.where("page_id % 7 <> 0").withColumn(
+        "html", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<p>v3</p>"))).otherwise(F.col("html")))
+    new = pages.where("page_id % 11 = 0").withColumn("url", F.concat("url", F.lit("#new")))
+    SN.land(spark, third.unionByName(new), base)
+    return SN.changes(spark, base, 1, 3).select("url", "change")
+
+
+@register("landed_files")
+def q_landed_files(spark, sf_dir):
+    """SRC1: pages landed as one file each, read back as a snapshot with its own page numbers."""
+    base = scratch_path(spark, "landed_files")
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    pages.select(name.alias("name"), F.regexp_replace("html", "\n", " ").alias("value")) \
+        .repartition("name").write.partitionBy("name").option("lineSep", "\n").text(f"{base}/files")
+    SN.land(spark, FS.read_pages_from_files(spark, f"{base}/files"), f"{base}/snapshots")
+    got = SN.read(spark, f"{base}/snapshots")
+    text = F.regexp_replace("html", "\n$", "")
+    return got.select(F.regexp_extract("url", r"name=(\d+)\.html", 1).cast("bigint").alias("page_id"),
+                      F.length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("digest"))
+
+
+@register("url_list_statutes")
+def q_url_list_statutes(spark, sf_dir):
+    """SRC6 + DS5: the listed statute URLs, every second of those landed, as texts by their place."""
+    pages = with_landed(spark, sf_dir, PS.statute_pages(spark, sf_dir))
+    listed = PS.statute_pages(spark, sf_dir).where("page_id % 2 = 0").select(F.col("page_id").alias("no"), "url")
+    return J.statute_text(pages, url_dim=FS.url_dimension(listed))
+
+
 @register("documents_quarantined")
 def q_documents_quarantined(spark, sf_dir):
     """ST5: the document pages that the store with appendix could not take, with the reason;

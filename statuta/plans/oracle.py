@@ -414,3 +414,17 @@ SQL["stream_resume"] = SQL["insert_if_absent_text"]
 SQL |= pagesets.oracles("https://legal.example/page/", "legal-portal", *(
     x.replace("FROM lineitem", "FROM (SELECT * REPLACE (l_suppkey AS l_orderkey) FROM lineitem)")
     for x in (segment_sql(False), LINEITEM_STATUTE_LINES)))
+
+
+# --- landed pages -----------------------------------------------------------
+SQL["snapshot_changes"] = """
+WITH a AS (SELECT url, min(html) AS html FROM pages GROUP BY url),
+b AS (SELECT url, html || CASE WHEN page_id % 5 = 0 THEN '<p>v3</p>' ELSE '' END AS html FROM pages WHERE page_id % 7 <> 0
+      UNION ALL SELECT url || '#new', html FROM pages WHERE page_id % 11 = 0)
+SELECT coalesce(a.url, b.url) AS url, CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed'
+  WHEN a.html <> b.html THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.url = b.url"""
+SQL["landed_files"] = """
+SELECT page_id, length(h) AS n_chars, sha256(h) AS digest
+FROM (SELECT page_id, replace(html, chr(10), ' ') AS h FROM pages WHERE html IS NOT NULL)"""
+SQL["url_list_statutes"] = f"""
+SELECT row_number() OVER (ORDER BY page_id) AS law_id, text, status FROM ({SQL["main_text"]}) WHERE page_id % 2 = 0 AND status = 'ok'"""

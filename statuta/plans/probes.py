@@ -7,8 +7,6 @@ with the data.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 # Fixed probe rows (id, text).  Ids are negative so they never meet table ids.
 TEXT_PROBES = [
     (-1, '<p\n class="x">A\t"b"</p>\r\n<i>c\\d</i> <> it\'s <table><tr><td>1</td></tr>'
@@ -76,7 +74,3 @@ PAGE_PROBES = [
     (-104, "https://legal.example/search?page=1", RESULT_PAGE),
     (-105, "https://laws.example/statute/1", STATUTE_PAGE),
 ]
-
-
-def page_probe_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAGE_PROBES, "page_id bigint, url string, html string")

@@ -20,10 +20,9 @@ def test_strip_tag_variants(spark):
     assert one(spark, T.strip_tags_multiline(F.col("s")), S) == "A\t'b'  c\\d <> it's 1 2"
 
 
-def test_strip_tags_sample_line(spark):
-    s = ('<p align="center"><span style="font-size:10pt;">Số: </span>'
-         '<span style="font-size:10pt;">12/QĐ-UB</span></p>')
-    assert one(spark, T.strip_tags(F.col("s")), s) == "Số: 12/QĐ-UB"
+def test_strip_tags_leaves_the_text_between_nested_tags(spark):
+    s = "<div id=a><em>Nghị định</em> số <i><u>7</u></i>/2020</div>"
+    assert one(spark, T.strip_tags(F.col("s")), s) == "Nghị định số 7/2020"
 
 
 def test_delete_tag_block(spark):
