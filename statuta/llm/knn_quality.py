@@ -14,6 +14,8 @@ count once (the lowest); repeated rows each get a row; other columns are not rea
 """
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -38,6 +40,7 @@ SHAPE_WEIGHT, WORD_WEIGHT, REPEAT_WEIGHT = 1.0, 0.3, 1.0
 BLOCK = 512
 #: Characters of a text that are counted at a time, which bounds the memory of a long one.
 CHUNK = 1 << 20
+BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 LOWER, UPPER, DIGIT, SPACE, LINE = 1, 2, 3, 4, 5
 
 
@@ -59,27 +62,55 @@ def class_table() -> np.ndarray:
     return table
 
 
+def text_parts(text: str):
+    """A text in parts of about CHUNK characters, cut behind white space."""
+    at = 0
+    while at < len(text):
+        gap = BLANK.search(text, at + CHUNK)
+        end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 def term_counts(text: str | None, table: np.ndarray) -> np.ndarray:
-    """Counts of the hashed terms of one text."""
+    """Counts of the hashed terms of one text; those of a long one are counted part by part,
+    with what the parts share carried over."""
     counts = np.zeros(TERMS)
-    text = text or ""
-    for at in range(0, len(text), CHUNK):
-        part = text[at:at + CHUNK]
+    tail, last = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint32)
+    seen_words: set[bytes] = set()
+    seen_lines: set[bytes] = set()
+    line = hashlib.blake2b(digest_size=16)
+    n_words = n_lines = 0
+    for part in text_parts(text or ""):
         chars = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        classes = table[np.minimum(chars, 0xFFFF)]
+        classes = np.concatenate((tail, table[np.minimum(chars, 0xFFFF)]))
         kept = classes[np.concatenate(([True], classes[1:] != classes[:-1]))]
         h = np.zeros(len(kept), dtype=np.uint32)
         for n in range(min(4, len(kept))):
             h = h[:len(kept) - n] * np.uint32(0x9E3779B1) + kept[n:]
-            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(21)
+            # runs of classes that end in the part before have been counted
+            mixed = (h[max(0, len(tail) - n):] ^ (h[max(0, len(tail) - n):] >> np.uint32(15))) \
+                * np.uint32(0x85EBCA77) >> np.uint32(21)
             counts[:SHAPE_TERMS] += np.bincount(mixed, minlength=SHAPE_TERMS)
+        tail = kept[-3:]
         spoken = part.encode("utf-8", "surrogatepass").split()
         words = np.array([zlib.crc32(w) for w in spoken], dtype=np.uint32)
         counts[SHAPE_TERMS:SHAPE_TERMS + WORD_TERMS] += np.bincount(words % WORD_TERMS, minlength=WORD_TERMS)
-        counts[-3] += np.count_nonzero(words[1:] == words[:-1])
-        counts[-2] += len(spoken) - len(set(spoken))
-        lines = part.split("\n")
-        counts[-1] += len(lines) - len(set(lines))
+        chained = np.concatenate((last, words))
+        counts[-3] += np.count_nonzero(chained[1:] == chained[:-1])
+        last = chained[-1:]
+        n_words += len(spoken)
+        seen_words.update(spoken)
+        first, *more = part.split("\n")
+        line.update(first.encode("utf-8", "surrogatepass"))
+        for nxt in more:
+            seen_lines.add(line.digest())
+            n_lines += 1
+            line = hashlib.blake2b(nxt.encode("utf-8", "surrogatepass"), digest_size=16)
+    if text:
+        seen_lines.add(line.digest())
+        counts[-2] = n_words - len(seen_words)
+        counts[-1] = n_lines + 1 - len(seen_lines)
     return counts
 
 
@@ -185,7 +216,9 @@ def knn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
              .where(~is_held_out(F.col("doc_id"), mod, rest))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     chosen = shared(marks, "quality-marks")
-    train = (rows.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("text", "quality")
+    # of several texts of an id, the one of smallest hash
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("first")
+    train = (rows.join(chosen, "doc_id").groupBy("doc_id").agg(first).select("first.text", "first.quality")
              .mapInPandas(_sample_rows, "quality int, counts binary").collect())
     counts = np.stack([np.frombuffer(r["counts"], dtype="<f4") for r in train]) if train else np.zeros((0, TERMS))
     model = fit(counts, np.array([r["quality"] for r in train], dtype=np.float64), idf)
