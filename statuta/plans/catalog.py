@@ -31,6 +31,7 @@ from statuta.session import spread
 from statuta.sources import files as FS
 from statuta.sources import snapshots as SN
 from statuta.sources.tables import table
+from statuta.streaming import bookmarks as SB
 from statuta.streaming import ingest as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -761,6 +762,22 @@ def q_stream_resume(spark, sf_dir):
     return SK.read_rows(spark, f"{base}/sink", b1.schema).select("doc_id", "batch", "lang", "n_chars")
 
 
+@register("bookmark_stream")
+def q_bookmark_stream(spark, sf_dir):
+    """MUT4-MUT6 as a stateful stream: the events land in two batches, the later ones of a
+    crawler partly first; the last changes are the bookmarks."""
+    base = scratch_path(spark, "bookmark_stream")
+    events = event_links(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("crawler"),
+        F.when(F.col("event_type") == "error", "clear").otherwise("set").alias("op"), "link",
+        F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("seq"))
+    for part in (0, 1):
+        ST.land(events.where(F.pmod(F.xxhash64("seq"), F.lit(2)) == part), f"{base}/landing")
+        SB.run_bookmarks(spark, f"{base}/landing", f"{base}/log", f"{base}/checkpoint")
+    out = SB.bookmarks(spark, f"{base}/log")
+    return out.select(F.col("crawler").cast("bigint").alias("user_id"), "link")
+
+
 # ---------------------------------------------------------------------------
 # End-to-end jobs over driver-derived files
 # ---------------------------------------------------------------------------

@@ -428,3 +428,4 @@ SELECT page_id, length(h) AS n_chars, sha256(h) AS digest
 FROM (SELECT page_id, replace(html, chr(10), ' ') AS h FROM pages WHERE html IS NOT NULL)"""
 SQL["url_list_statutes"] = f"""
 SELECT row_number() OVER (ORDER BY page_id) AS law_id, text, status FROM ({SQL["main_text"]}) WHERE page_id % 2 = 0 AND status = 'ok'"""
+SQL["bookmark_stream"] = SQL["bookmark_cleared"]
