@@ -13,11 +13,17 @@ overwrites itself; the bookmarks are the last change of each crawler.
 """
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Python workers get the operator with their tasks, so they need not import the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EVENTS = "crawler string, op string, link string, at timestamp, seq long"
 CHANGES = "crawler string, link string, at timestamp, seq long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
