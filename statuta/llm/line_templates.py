@@ -102,8 +102,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     varied = shared(mixed.join(recurring, "template").where(later).select(
         "doc_id", "version", "line_no", F.col("first.doc_id").alias("first_doc"),
         F.col("first.line_no").alias("first_line")), "varied")
+    # first lines that are candidates themselves; made distinct first, as one may anchor many lines
+    anchor = ["first_doc", "first_line"]
     candidates = varied.select(F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line")).distinct()
-    anchored = varied.join(candidates, ["first_doc", "first_line"], "left_anti")
+    gone = shared(varied.select(*anchor).distinct().join(candidates, anchor, "left_semi"), "lost-anchors")
+    anchored = varied.join(gone, anchor, "left_anti")
     return same.union(anchored.select("doc_id", "version", "line_no"))
 
 
