@@ -150,3 +150,30 @@ def test_pairs_scored_in_full_are_few(spark):
     idx = bm25.build_index(corpus, ["doc_id"])
     assert bm25.ranked(idx, qs, ["qid"], 1).count() < 0.1 * len(docs) * len(queries)
     assert bm25.scores(idx, qs, ["qid"]).count() > 0.3 * len(docs) * len(queries)
+
+
+def test_queries_that_ask_the_same_are_ranked_once(spark):
+    """Word order and copies do not matter; every query still has its own row."""
+    corpus = spark.createDataFrame([(0, "a b a"), (1, "b c"), (2, "c d")], "doc_id bigint, text string")
+    qs = spark.createDataFrame([(i, "c d" if i % 2 else "d c") for i in range(40)] + [(40, "a"), (41, "zz")],
+                               "qid bigint, text string")
+    asks, asking = bm25.asked_once(qs, ["qid"])
+    assert asks.select(bm25.ASK).distinct().count() == 3 and asking.count() == 42
+    idx = bm25.build_index(corpus, ["doc_id"])
+    got = {r.qid: r.doc_id for r in bm25.top1(idx, qs, ["qid"]).collect()}
+    assert got == {**{i: 2 for i in range(40)}, 40: 0, 41: None}
+    assert bm25.topk(idx, qs, ["qid"], 2).where("qid < 40 AND rank = 1 AND doc_id = 2").count() == 40
+
+
+def test_many_near_pairs_are_added_up_in_place(spark, monkeypatch):
+    """Pairs beyond a broadcast: the same ranking, and no shuffle by pair of query and document."""
+    rng = random.Random(8)
+    words, docs = zipf_corpus(rng, 200, 300)
+    corpus = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(4, "doc_id")
+    queries = [" ".join(rng.choices(words, k=6)) for _ in range(10)]
+    qs = spark.createDataFrame(list(enumerate(queries)), "qid bigint, text string")
+    idx = bm25.build_index(corpus, ["doc_id"])
+    monkeypatch.setattr(bm25, "QUERY_BROADCAST_ROWS", 0)
+    found = bm25.ranked(idx, qs, ["qid"], 1)
+    assert "Exchange hashpartitioning(_q" not in found._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    check_ranking(spark, docs, queries, compats=(False,))
