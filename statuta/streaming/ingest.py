@@ -16,9 +16,14 @@ the batch-level insert-if-absent of ``store.py``:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from statuta.operators import store as S
+from statuta.session import row_bytes
+
+#: Bytes of a micro-batch's rows to a shuffle partition.
+PARTITION_BYTES = 64 << 20
 
 
 def land(df: DataFrame, landing_dir: str) -> None:
@@ -26,6 +31,12 @@ def land(df: DataFrame, landing_dir: str) -> None:
     df.write.mode("append").parquet(landing_dir)
 
 
+def shuffle_partitions(batch: DataFrame, least: int) -> int:
+    """Partitions whose share of a batch does not grow with it."""
+    size = batch.agg(F.sum(row_bytes(batch))).first()[0] or 0
+    return max(least, -(-size // PARTITION_BYTES))
+
+
 def insert_if_absent_stream(spark: SparkSession, landing_dir: str, schema: StructType,
                             sink_path: str, checkpoint: str, key_cols: list[str],
                             order_cols: list[str], available_now: bool = True,
@@ -33,8 +44,11 @@ def insert_if_absent_stream(spark: SparkSession, landing_dir: str, schema: Struc
     """Start the ingest query; with ``available_now`` it processes what has landed and
     stops (returns after termination), otherwise it runs on ``processing_time``."""
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        # nothing coalesces or splits the shuffles of a micro-batch: their tasks' share is set here
+        batch.sparkSession.conf.set("spark.sql.shuffle.partitions", shuffle_partitions(batch, least))
         S.append_if_absent(batch.sparkSession, sink_path, batch, key_cols, order_cols)
 
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
            .parquet(landing_dir))
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
