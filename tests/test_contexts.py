@@ -53,3 +53,12 @@ def test_header_fields_move_tables_alone(spark):
     columns = ["page_id", "appendix", "n_appendix_tables", "status"]
     same(H.with_tables(x).select(*columns), H.with_tables(H.document_elements(p)).select(*columns))
     assert len(PAGES) == p.count()
+
+
+def test_paragraphs_move_paragraphs_alone(spark):
+    p = frame(spark)
+    x = H.document_elements(p, H.PARAGRAPH_TAGS, H.LEAST_COLUMNS, html=False)
+    assert "html" not in x.columns
+    assert x.selectExpr("explode(els) AS e").where("e.tag <> 'p'").isEmpty()
+    columns = ["page_id", "level", "content"]
+    same(H.with_paragraphs(x).select(*columns), H.with_paragraphs(H.document_elements(p)).select(*columns))
