@@ -1,5 +1,4 @@
 """Postings of a document lie in one partition; pairs that cannot reach a floor are not kept."""
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta import session
@@ -37,3 +36,20 @@ def test_partitions_of_many_files_do_not_grow(spark, scratch):
     docs = spark.read.parquet(f"{scratch}/documents.parquet")
     assert session.spread(docs, ["doc_id"]).rdd.getNumPartitions() <= 2 * slots
     assert session.clustered(docs, ["doc_id"]).rdd.getNumPartitions() == slots
+
+
+def test_pairs_below_the_floor_are_not_kept(spark, monkeypatch):
+    rows = [(i, " ".join(["the"] * (i % 5) + [f"w{i % 40}", f"x{i % 3}", "pad"])) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "w3 x1 the"), (2, "w7 x2 pad the")], "qid bigint, text string")
+    idx = bm25.build_index(corpus, ["doc_id"])
+    expected = bm25.scores(idx, queries, ["qid"]).toPandas().sort_values(["qid", "score", "doc_id"], ascending=[1, 0, 1])
+    kept, kind = [], type(idx.tf)
+    persist = kind.persist
+    monkeypatch.setattr(bm25, "MOST_POSTINGS", 1.0)
+    monkeypatch.setattr(kind, "persist", lambda df, *level: (kept.append(df), persist(df, *level))[1])
+    best = bm25.topk(idx, queries, ["qid"], 3).toPandas().sort_values(["qid", "rank"])
+    partial = [df for df in kept if {"_q", "units", "floor", "rest"} <= set(df.columns)]
+    assert partial and partial[0].where("units + rest < floor").isEmpty()
+    want = expected.groupby("qid").head(3)
+    assert best["doc_id"].tolist() == want["doc_id"].tolist()
