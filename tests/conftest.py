@@ -17,6 +17,9 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
+         # one driver runs all tests: it keeps no long record of finished work
+         .config("spark.ui.retainedJobs", "100").config("spark.ui.retainedStages", "100")
+         .config("spark.ui.retainedTasks", "1000").config("spark.sql.ui.retainedExecutions", "20")
          .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
@@ -26,6 +29,17 @@ def spark():
     yield s
 
 
+@pytest.fixture(autouse=True)
+def no_cached_frames():
+    """Frames that a test's queries keep do not stay in the one driver's memory."""
+    yield
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.getActiveSession()
+    if s is not None:
+        s.catalog.clearCache()
+
+
 @pytest.fixture()
 def scratch(tmp_path):
     return str(tmp_path)
